@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup
+from . import decontaminate, langid, linededup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_language_mixture": langid.op2_language_mixture,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from ..deploy import ship
+
 SLICE = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -144,6 +146,7 @@ def map_text(df, fn, columns: dict[str, pa.DataType], keep: list[str], text: str
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import from_arrow_type
 
+    ship(df.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in columns]
     src = df.select(*[df[c] for c in keep], df[text].alias("__text"))
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, from_arrow_type(t)) for c, t in columns.items())])
