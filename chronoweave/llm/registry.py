@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, toxicity
+from . import decontaminate, langid, linededup, mixing, permindex, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_language_mixture": langid.op2_language_mixture,
+        "op3_permutation_index": permindex.op3_permutation_index,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_line_dedup": linededup.op6_line_dedup,
+        "op7_pii_crf": pii.op7_pii_crf,
+        "op8_mixing": mixing.op8_mixing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_line_dedup": linededup.ORACLE}
+    return {"op6_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
