@@ -41,6 +41,8 @@ CANDIDATE = re.compile(r"[^\s]*[0-9@+][^\s]*")
 NOT_DIGIT = re.compile(r"[^0-9]")
 EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
 N_LABELS = 5
+#: prior pairs of equal labels on skip edges, on which documents seldom have evidence
+SAME = 20
 _models: dict = {}
 
 
@@ -186,6 +188,7 @@ def propagate(unary: np.ndarray, a, b, kind, pair: np.ndarray, rounds: int = 15)
 
 def learn(texts: list[str], rounds: int = 200) -> dict:
     xs, ys, pairs = [], [], np.ones((2, N_LABELS, N_LABELS))
+    pairs[1] += SAME * np.eye(N_LABELS)
     for t in texts:
         sp = tokens(t)
         if not sp:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, mixing, permindex, pii, toxicity
+from . import decontaminate, langid, licenses, linededup, mixing, ordermh, permindex, pii, toxicity
 
 
 def queries() -> dict:
     return {
+        "op10_license_scan": licenses.op10_license_scan,
         "op2_language_mixture": langid.op2_language_mixture,
         "op3_permutation_index": permindex.op3_permutation_index,
+        "op4_order_minhash": ordermh.op4_order_minhash,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op7_pii_crf": pii.op7_pii_crf,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op10_license_scan": licenses.ORACLE, "op6_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
