@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, linededup, mixing, ordermh, permindex, pii, toxicity
+from . import decontaminate, langid, licenses, linededup, mixing, ordermh, passages, permindex, pii, toxicity
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_substring_dedup": passages.op1_substring_dedup,
         "op10_license_scan": licenses.op10_license_scan,
         "op2_language_mixture": langid.op2_language_mixture,
         "op3_permutation_index": permindex.op3_permutation_index,

@@ -1,0 +1,73 @@
+"""Corpus pipeline: toxicity, line dedup, near-dedup, decontamination, mixing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next stage's docs.  All
+but the last return the columns of documents.  Stages are written under
+``spark.checkpoint.dir`` where the session names it.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoweave.llm import decontaminate, linededup, mixing, ordermh, toxicity
+from chronoweave.llm.textops import crc_mod, read
+
+#: the pipeline is judged by SQL nowhere: training, alignment and raking are iterative
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), rows=lambda i: crc_mod(i, 5) != 0)
+    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in 10 documents or more go; n_chars follows the text."""
+    out = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, min_docs=10, min_chars=1))
+    new = {"text": F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept"))}
+    new["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each class of near copies stays; null ids stay."""
+    cls = ordermh.near_classes(docs.select("doc_id", "text"))
+    gone = cls.where("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    out = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return out.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by calibrated probabilities, with topic, tokens, weight and keep_prob."""
+    return mixing.mix(docs).where("sampled").drop("sampled")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
