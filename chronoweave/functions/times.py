@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds of a timestamp_ntz, read as UTC."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds of a timestamp_ntz since 1970, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
 
 
 def format_clock(seconds: Column) -> Column:
@@ -37,4 +37,4 @@ def clock_to_frame(text: Column, fps: int = 25) -> Column:
 
 def shift(ts: Column, us: Column) -> Column:
     """A timestamp moved by microseconds."""
-    return F.timestamp_micros(micros(ts) + us).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", us, ts)

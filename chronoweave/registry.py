@@ -1,11 +1,15 @@
-"""All queries of the library proper, by name."""
+"""All queries of the library proper, by name, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from . import queries as q
+
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import queries as q
+
+    return dict(q.ORACLES)
