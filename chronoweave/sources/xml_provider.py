@@ -91,7 +91,7 @@ def _play(play: Column, shot: Column) -> Column:
     ).when(
         shot.isNotNull(),
         F.struct(
-            F.lit("Shot").alias("event_type"), shot["_Team"].alias("team_id"), shot["_Player"].alias("player_id"), F.coalesce(shot["SavedShot._GoalKeeper"], shot["BlockedShot._Player"]).alias("receiver_player_id"),
+            F.lit("Shot").alias("event_type"), shot["_Team"].alias("team_id"), shot["_Player"].alias("player_id"), F.coalesce(shot["SavedShot"]["_GoalKeeper"], shot["BlockedShot"]["_Player"]).alias("receiver_player_id"),
             result.alias("result"), shot["SuccessfulShot"].isNotNull().alias("success"), shot["_TypeOfShot"].alias("body_part_type"),
         ),
     )
