@@ -31,8 +31,9 @@ _built: dict = {}
 
 
 def _pad(text: str) -> str:
-    words = text.encode("utf-8", "surrogatepass").translate(NORMAL).split(b" ")
-    return (b" " + b" ".join([w for w in words if w]) + b" ").decode("latin-1")
+    """Words each followed by a space, after one space, as UTF-8 bytes read as Latin-1 characters."""
+    words = text.encode("utf-8", "surrogatepass").translate(NORMAL).split()
+    return b" ".join([b"", *words, b""]).decode("latin-1") if words else " "
 
 
 def windows(text: str, n: int) -> list[str]:
