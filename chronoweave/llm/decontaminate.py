@@ -37,7 +37,7 @@ def _pad(text: str) -> str:
 
 
 def windows(text: str, n: int) -> list[str]:
-    words = _pad(text).split()
+    words = _pad(text).split(" ")[1:-1]  # by spaces only: UTF-8 bytes may read as other blanks
     if not words:
         return []
     return [" " + " ".join(words[i : i + n]) + " " for i in range(max(1, len(words) - n + 1))]

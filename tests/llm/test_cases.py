@@ -94,8 +94,8 @@ def test_held_out_languages_and_toxicity(spark):
 
 def test_decontamination_by_brute_force(spark):
     base = [prose(i, 40) for i in range(6)]
-    items = [("a", base[0]), ("b", "One two three"), ("c", base[1]), ("a2", base[0])]
-    texts = [base[2] + ", " + base[0][5:120] + "; " + base[3], "so ONE two-three four", base[4], None, base[1].upper()]
+    items = [("a", base[0]), ("b", "One two three"), ("c", base[1]), ("a2", base[0]), ("d", "il va à la mer à pied où l’été est Ã… là")]
+    texts = [base[2] + ", " + base[0][5:120] + "; " + base[3], "so ONE two-three four", base[4], None, base[1].upper(), "et il va À il va à la mer à pied où l’été est Ã… là!"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     for limit in (10**6, 30):
