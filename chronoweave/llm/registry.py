@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_license_scan": licenses.ORACLE, "op6_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op10_license_scan": licenses.ORACLE, "op6_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
