@@ -115,7 +115,7 @@ def runs_of(d):
 
 
 def kept_text(ls, keep):
-    """Kept lines joined by ``\\n``; slices of kept runs only, so linear in the lines."""
+    """Kept lines joined by ``\\n``; slices of kept runs only; run ends are summed anew for each run."""
     n = F.size(ls)
     ends = F.transform(F.sequence(F.lit(1), F.size(keep)), lambda i: F.aggregate(F.slice(keep, 1, i), F.lit(0), lambda a, x: a + x))
     starts = F.concat(F.array(F.lit(0)), ends)
