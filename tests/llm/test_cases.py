@@ -295,3 +295,15 @@ def test_pipeline_stages(spark):
     assert decontaminate.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").count() == 0
     final = cp.run(spark, sf)
     assert 0 < final.count() <= seen[-1] and len(hashlib.md5(b"").hexdigest()) == 32
+
+
+def test_passages_made_of_frequent_lines(spark):
+    """Two texts share a passage whose lines stand, in other company, in many texts that sort before and between them."""
+    lines = [prose(7000 + i, 10) for i in range(7)]
+    texts = {}
+    for n in range(400):  # each two lines that follow each other, between words of its own
+        texts[n] = " ".join(prose(8000 + 10 * n + i, 25) + " " + lines[i] + " " + lines[i + 1] for i in random.Random(n).sample(range(6), 6))
+    for d in (150, 350):
+        texts[d] = prose(90 + d, 60) + " " + " ".join(lines) + " " + prose(91 + d, 60)
+    got = passages.repeated_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got) == [(150, 60, 130, 150), (350, 60, 130, 150)]
