@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import EVENTS, TRACKING, Contract
-from ..sources.files import trim_tail, write_synced
+from ..sources.files import drop_output, trim_tail, write_synced
+from ..storage import kept
 from .detectors import COMPAT_TACKLE, DETECTORS, explain, kind_of
-from .synchronise import FEATURES, _arrays, features, frame_dimension, synchronise, window_bounds, with_neighbours
+from .synchronise import FEATURES, PACKED, _arrays, features, frame_dimension, synchronise, window_bounds, with_neighbours
 
 
 def match_status(df: DataFrame, contract: Contract) -> DataFrame:
@@ -23,10 +24,14 @@ def run(events: DataFrame, tracking: DataFrame, out: str, fps: int = 25, limit:
     """Writes the accepted matches under ``out``; match_id, status ('written', 'unsynced', 'invalid', 'no tracking') for every match."""
     e, t = match_status(events, EVENTS).withColumnRenamed("violations", "e"), match_status(tracking, TRACKING).withColumnRenamed("violations", "t")
     seen = e.join(t, "match_id", "left")
+    seen = kept(seen)
     good = seen.where("e = 0 and t = 0").select("match_id")
     ev, tr = events.join(good, "match_id", "left_semi"), tracking.join(good, "match_id", "left_semi")
-    synced = trim_tail(synchronise(ev, tr, fps, post_sync_types), frame_dimension(tr))
+    synced = kept(trim_tail(kept(synchronise(ev, tr, fps, post_sync_types)), frame_dimension(tr)))
     done = write_synced(synced, out, limit)
+    # what an earlier run wrote for a match that is not accepted now goes away
+    stale = seen.select("match_id").join(done.where("ok").select("match_id"), "match_id", "left_anti")
+    drop_output(stale, out)
     status = F.when(F.col("t").isNull(), "no tracking").when((F.col("e") > 0) | (F.col("t") > 0), "invalid").when(F.col("ok"), "written").otherwise("unsynced")
     return seen.join(done, "match_id", "left").select("match_id", status.alias("status"), F.col("unsynced"))
 
@@ -37,12 +42,13 @@ def explain_event(events: DataFrame, tracking: DataFrame, match_id: str, event_i
     e, t = events.where(F.col("match_id") == match_id), tracking.where(F.col("match_id") == match_id)
     n = with_neighbours(e)
     b = window_bounds(n, frame_dimension(t), fps).where(F.col("event_idx") == event_idx).select("match_id", "event_idx", "event_frame", "lo", "hi")
-    row = features(n.join(b, ["match_id", "event_idx"]), t, fps).select("spadl_type", "rows").first()  # one event
+    got = features(n.join(b, ["match_id", "event_idx"]), t, fps).select("spadl_type", *[f"f_{c}" for c in PACKED]).toPandas()  # one event
     schema = ", ".join(f"{c} double" for c in FEATURES) + ", candidate boolean, score double, best boolean"
-    if row is None or row["rows"] is None:
+    row = next(got.itertuples(index=False), None)
+    if row is None or row.f_frame is None:
         return spark.createDataFrame([], schema)
-    f = _arrays(row["rows"], 0, float("inf"))
-    kind = kind_of(row["spadl_type"])[1]
+    f = _arrays(row, 0, float("inf"))
+    kind = kind_of(row.spadl_type)[1]
     got = explain(COMPAT_TACKLE if compat and kind == "tackle" else DETECTORS[kind], f, fps) if kind in DETECTORS else None
     score = {} if got is None else dict(zip(got["frame"].tolist(), got["score"].tolist(), strict=True))
     top = max(score, key=lambda x: (score[x], -x)) if score else None

@@ -18,10 +18,13 @@ from ..deploy import ship
 from ..functions import times
 from ..functions.scoring import distance
 from ..operators import temporal as tmp
+from ..storage import kept
 from .detectors import best_frame, kind_of
 
 KEYS = ["match_id", "period_id"]
 FEATURES = ["frame", "player_dist", "ball_height", "ball_accel", "player_speed", "player_accel", "frame_delay", "oppo_dist", "oppo_rel_x", "oppo_rel_y"]
+#: features travel as one array each, so a fold gets NumPy arrays and no row objects
+PACKED = [*FEATURES, "oppo_id"]
 PASSES = [*vocab.PASS_LIKE_OPEN, *vocab.SET_PIECE]
 
 
@@ -85,11 +88,11 @@ def window_bounds(events: DataFrame, frames: DataFrame, fps: int = 25) -> DataFr
 
 
 def features(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
-    """One row an event with an array of feature rows, in frame order.
+    """One row an event with one array for each feature (``f_`` columns), in frame order.
 
     The acting player's rows come by a bucketed range join; the ball and the opponent join on the frame.
     """
-    p = tracking.where(~F.col("ball")).select("match_id", "period_id", "player_id", F.col("frame_id").alias("frame"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("speed").alias("player_speed"), F.col("accel_s").alias("player_accel"))
+    p = tracking.where(~F.col("ball")).select("match_id", "period_id", "player_id", F.col("frame_id").alias("frame"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("speed").alias("player_speed"), F.col("accel_v").alias("player_accel"))
     ball = tracking.where("ball").select("match_id", "period_id", F.col("frame_id").alias("frame"), F.col("x").alias("bx"), F.col("y").alias("by"), F.coalesce("z", F.lit(0.0)).alias("ball_height"), F.coalesce("accel_v", F.lit(0.0)).alias("ball_accel"))
     e = events.where("lo is not null")
     own = tmp.range_join(e, p, [*KEYS, "player_id"], "lo", "hi", "frame", width=10 * fps)
@@ -108,17 +111,23 @@ def features(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame
     opp = j.groupBy("match_id", "event_idx", "frame").agg(F.min_by(F.struct("oppo_id", "ox", "oy"), F.struct(masked, "oppo_id")).alias("o"))
     full = own.join(opp, ["match_id", "event_idx", "frame"], "left")
     row = F.struct(
-        "frame", "player_dist", "ball_height", "ball_accel", F.coalesce("player_speed", F.lit(0.0)).alias("player_speed"), F.coalesce("player_accel", F.lit(0.0)).alias("player_accel"), "frame_delay",
+        F.col("frame").cast("double").alias("frame"), "player_dist", "ball_height", "ball_accel", F.coalesce("player_speed", F.lit(0.0)).alias("player_speed"), F.coalesce("player_accel", F.lit(0.0)).alias("player_accel"), "frame_delay",
         distance(F.col("o.ox"), F.col("o.oy"), F.col("bx"), F.col("by")).alias("oppo_dist"), (F.col("o.ox") - F.col("px")).alias("oppo_rel_x"), (F.col("o.oy") - F.col("py")).alias("oppo_rel_y"), F.col("o.oppo_id").alias("oppo_id"),
     )
     rows = full.groupBy("match_id", "event_idx").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = rows.select("match_id", "event_idx", *[F.col(f"rows.{c}").alias(f"f_{c}") for c in PACKED])
     return events.join(rows, ["match_id", "event_idx"], "left")
 
 
-def _arrays(rows, lo: float, hi: float) -> dict:
-    rows = [] if rows is None else [r for r in rows if lo <= r["frame"] <= hi]
-    f = {k: np.array([np.nan if r[k] is None else r[k] for r in rows], float) for k in FEATURES}
-    f["oppo_id"] = np.array([r["oppo_id"] for r in rows], object)
+def _arrays(row, lo: float, hi: float) -> dict:
+    """The packed features of one event between two frames; null values are NaN."""
+    frame = getattr(row, "f_frame")
+    if frame is None:
+        return {k: np.zeros(0) for k in PACKED}
+    frame = np.asarray(frame, float)
+    s = slice(int(np.searchsorted(frame, lo)), int(np.searchsorted(frame, hi, "right")))
+    f = {k: np.asarray(getattr(row, f"f_{k}"), float)[s] for k in FEATURES}
+    f["oppo_id"] = np.asarray(row.f_oppo_id, object)[s]
     return f
 
 
@@ -132,12 +141,12 @@ def major_fold(events: DataFrame, kick: DataFrame, fps: int, compat: bool) -> Da
         for r in pdf.itertuples(index=False):
             best = int(r.kick_frame) if r.event_idx == r.kick_idx else None
             if best is None and r.major:
-                best = best_frame(kind_of(r.spadl_type)[1], _arrays(r.rows, at, np.inf), fps, compat)
+                best = best_frame(kind_of(r.spadl_type)[1], _arrays(r, at, np.inf), fps, compat)
                 at = at if best is None else best
             out.append(best)
         return pd.DataFrame({"match_id": pdf["match_id"], "event_idx": pdf["event_idx"], "frame_id": pd.array(out, dtype="Int64")})
 
-    return e.select(*KEYS, "event_idx", "spadl_type", "major", "kick_idx", "kick_frame", "rows").groupBy(*KEYS).applyInPandas(fold, "match_id string, event_idx long, frame_id long")
+    return e.select(*KEYS, "event_idx", "spadl_type", "major", "kick_idx", "kick_frame", *[f"f_{c}" for c in PACKED]).groupBy(*KEYS).applyInPandas(fold, "match_id string, event_idx long, frame_id long")
 
 
 def receives(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int = 25, seconds: int = 10) -> DataFrame:
@@ -171,16 +180,18 @@ def receives(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int
     order = F.struct("dist", F.when(F.col("obj").startswith("home"), 0).otherwise(1), "obj")
     per = d.groupBy(*by).agg(F.min(nxt).alias("next_player_dist"), F.min(F.when(cand, F.col("dist"))).alias("closest_dist"), F.min_by(F.when(cand, F.col("obj")), F.when(cand, order)).alias("closest_id"), F.first("ball_height").alias("ball_height"), F.first("ball_accel").alias("ball_accel"))
     per = per.where("next_player_dist is not null and closest_dist is not null")
-    arr = per.groupBy("match_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct("frame", "next_player_dist", "closest_dist", "ball_height", "ball_accel", "closest_id"))).alias("rows"))
+    names = ["frame", "next_player_dist", "closest_dist", "ball_height", "ball_accel"]
+    arr = per.groupBy("match_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct(*names, "closest_id"))).alias("rows"))
+    arr = arr.select("match_id", "event_idx", *[F.col(f"rows.{c}").cast("array<double>").alias(c) for c in names], F.col("rows.closest_id").alias("closest_id"))
 
     def pick(batches):
         for pdf in batches:
             who, when = [], []
-            for rows in pdf["rows"]:
-                f = {k: np.array([r[k] for r in rows], float) for k in ("frame", "next_player_dist", "closest_dist", "ball_height", "ball_accel")}
+            for r in pdf.itertuples(index=False):
+                f = {k: np.asarray(getattr(r, k), float) for k in names}
                 best = best_frame("receive", f, fps)
                 when.append(best)
-                who.append(None if best is None else rows[int(np.searchsorted(f["frame"], best))]["closest_id"])
+                who.append(None if best is None else r.closest_id[int(np.searchsorted(f["frame"], best))])
             yield pd.DataFrame({"match_id": pdf["match_id"], "event_idx": pdf["event_idx"], "receiver_id": who, "receive_frame_id": pd.array(when, dtype="Int64")})
 
     found = arr.mapInPandas(pick, "match_id string, event_idx long, receiver_id string, receive_frame_id long")
@@ -198,13 +209,14 @@ def minor_fold(events: DataFrame, fps: int, post: list[str], compat: bool) -> Da
         got = pdf["receive_frame_id"].astype("Float64").to_numpy(float, na_value=np.nan)
         frame[minor] = np.nan
         types, players = pdf["spadl_type"].tolist(), pdf["player_id"].tolist()
+        period, held = pdf["period_id"].tolist(), list(pdf.itertuples(index=False))
         last = float(pdf["last_frame"].iloc[0])
         for i in np.flatnonzero(minor):
             kind = types[i]
             if kind == "bad_touch" and i and players[i] == pdf["receiver_id"][i - 1] and not np.isnan(got[i - 1]):
                 frame[i] = got[i - 1]
                 continue
-            if kind == "dispossessed" and i + 1 < n and types[i + 1] == "tackle":
+            if kind == "dispossessed" and i + 1 < n and types[i + 1] == "tackle" and period[i + 1] == period[i]:
                 if "tackle" in post:
                     continue
                 if not np.isnan(frame[i + 1]):
@@ -217,7 +229,7 @@ def minor_fold(events: DataFrame, fps: int, post: list[str], compat: bool) -> Da
             before = np.concatenate([frame[:i], got[:i] - fps // 5, [0.0]])
             after = np.concatenate([frame[i:], [np.nan]])
             lo, hi = np.nanmax(before), np.inf if np.isnan(after).all() else min(np.nanmin(after), last)
-            best = best_frame("second_take_on" if second else kind_of(kind)[1], _arrays(pdf["rows"][i], lo, hi), fps, compat)
+            best = best_frame("second_take_on" if second else kind_of(kind)[1], _arrays(held[i], lo, hi), fps, compat)
             if best is not None:
                 frame[i] = best
                 if kind == "tackle" and i and types[i - 1] == "dispossessed":
@@ -234,19 +246,20 @@ def synchronise(events: DataFrame, tracking: DataFrame, fps: int = 25, post_sync
     """
     ship(events.sparkSession)
     post = list(vocab.MINOR if post_sync_types is None else post_sync_types)
-    frames = frame_dimension(tracking)
+    # every intermediate that several steps read is computed once and kept in shared storage
+    frames = kept(frame_dimension(tracking))
     e = with_neighbours(events)
-    kick = kickoffs(e, tracking, frames, fps)
-    e = e.join(F.broadcast(kick.select(*KEYS, "offset")), KEYS, "left").withColumn("us", F.col("us") - F.coalesce("offset", F.lit(0))).drop("offset")  # one row a period
+    kick = kept(kickoffs(e, tracking, frames, fps))
+    e = kept(e.join(F.broadcast(kick.select(*KEYS, "offset")), KEYS, "left").withColumn("us", F.col("us") - F.coalesce("offset", F.lit(0))).drop("offset"))  # one row a period
     bounds = window_bounds(e, frames, fps).select("match_id", "event_idx", "event_frame", "lo", "hi")
-    f = features(e.join(bounds, ["match_id", "event_idx"], "left"), tracking, fps).withColumn("major", ~F.col("spadl_type").isin(post)).persist()
-    major = major_fold(f, kick, fps, compat)
-    e2 = e.join(major, ["match_id", "event_idx"], "left")
-    rec = receives(e2, tracking, frames, fps)
+    f = kept(features(e.join(bounds, ["match_id", "event_idx"], "left"), tracking, fps).withColumn("major", ~F.col("spadl_type").isin(post)))
+    major = kept(major_fold(f, kick, fps, compat))
+    rec = kept(receives(e.join(major, ["match_id", "event_idx"], "left"), tracking, frames, fps))
     last = frames.groupBy("match_id").agg(F.max("frame_id").alias("last_frame"))
-    m = f.select("match_id", "event_idx", "spadl_type", "player_id", F.when(F.col("spadl_type").isin(post), F.col("rows")).alias("rows"))
+    own = F.col("spadl_type").isin(post)
+    m = f.select("match_id", "period_id", "event_idx", "spadl_type", "player_id", *[F.when(own, F.col(f"f_{c}")).alias(f"f_{c}") for c in PACKED])
     m = m.join(major, ["match_id", "event_idx"], "left").join(rec, ["match_id", "event_idx"], "left").join(last, "match_id")
-    final = minor_fold(m, fps, post, compat)
+    final = kept(minor_fold(m, fps, post, compat))
     clock = tracking.select("match_id", "frame_id", "timestamp").distinct()
     out = e.drop("us", "prev_player_id", "prev_type").join(final, ["match_id", "event_idx"], "left").join(rec, ["match_id", "event_idx"], "left")
     out = out.join(clock.withColumnRenamed("timestamp", "__a"), ["match_id", "frame_id"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import remove
+
 
 def read_matches(spark: SparkSession, path: str, match_ids: list[str] | None = None) -> DataFrame:
     """A table laid out by ``match_id``; only the named matches' files are read."""
@@ -48,3 +50,9 @@ def write_synced(synced: DataFrame, path: str, limit: int = 50, fmt: str = "csv"
     w = good.repartition("match_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id")
     (w.option("header", True) if fmt == "csv" else w).format(fmt).save(path)
     return status
+
+
+def drop_output(matches: DataFrame, path: str) -> int:
+    """Remove the written folders of ``matches`` (match_id); their number.  The list goes match by match through the driver."""
+    spark = matches.sparkSession
+    return sum(remove(spark, f"{path}/match_id={r[0]}") for r in matches.select("match_id").toLocalIterator())
