@@ -220,12 +220,63 @@ def test_passages_across_documents(spark):
 
 
 def test_compact_windows_cover_all_subsequences():
-    h = np.random.default_rng(3).permutation(40)
-    nodes = passages.compact_windows(h, 8)
-    for i in range(40):
-        for j in range(i + 7, 40):
-            c = i + int(h[i : j + 1].argmin())
-            assert sum(lo <= i and j <= hi and at == c for lo, at, hi in nodes) == 1
+    rng = np.random.default_rng(3)
+    h = np.concatenate([rng.permutation(40), rng.integers(1, 9, 30), rng.permutation(5)]).astype(np.uint64) + np.uint64(1)
+    off = np.array([0, 40, 70, 75])
+    nodes = list(zip(*(x.tolist() for x in passages.compact_windows(h, off, 8)), strict=True))
+    for lo, hi in zip(off[:-1], off[1:], strict=True):
+        for i in range(lo, hi):
+            for j in range(i + 7, hi):
+                c = i + int(h[i : j + 1].argmin())
+                assert sum(l <= i and j <= r and at == c for l, at, r in nodes) == 1
+    assert all(r - l >= 7 and (r < 40 or l >= 40) for l, _, r in nodes)
+
+
+def test_passages_lose_no_link_to_sharers_of_parts(spark):
+    """Two documents share 60 words of which others quote 10, 24, 30 or 45; only the two (and the quotes of 50) are found."""
+    w = prose(7, 60).split()
+    texts = {10: prose(11, 80) + " " + " ".join(w) + " " + prose(12, 80), 90: prose(13, 30) + " " + " ".join(w) + " " + prose(14, 100)}
+    k = 11
+    for n in (10, 24, 30, 45):
+        for at in range(0, 60 - n + 1, 3):
+            texts[k] = prose(100 + k, 70) + " " + " ".join(w[at : at + n]) + " " + prose(300 + k, 70)
+            k += 1 if k != 89 else 2
+    got = passages.repeated_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got) == [(10, 80, 140, 10), (90, 30, 90, 10)]
+
+
+def test_recall_of_passages(spark):
+    """Exact and once or twice edited repeats in pairs; all that reach 0.8 by shingles in order are found."""
+    r, texts, want = random.Random(5), [], set()
+    for i in range(120):
+        n = r.choice([50, 52, 55, 60, 80, 120])
+        a = prose(5000 + i, n).split()
+        b = list(a)
+        for _ in range(0 if i % 3 == 0 else n // 50):
+            at = r.randrange(n)
+            if r.random() < 0.5:
+                b[at] = f"new{at}"
+            else:
+                b.insert(at, f"more{at}")
+        x = [tuple(a[j : j + 5]) for j in range(len(a) - 4)]
+        y = [tuple(b[j : j + 5]) for j in range(len(b) - 4)]
+        both = set(x) & set(y)  # a passage begins and ends with a common shingle
+        px, py = ([j for j, v in enumerate(z) if v in both] for z in (x, y))
+        x, y, m = x[px[0] : px[-1] + 1], y[py[0] : py[-1] + 1], len(both)
+        texts += [prose(6000 + i, 40 + i % 7) + " " + " ".join(a) + " " + prose(6500 + i, 20), prose(9000 + i, i % 30) + " " + " ".join(b) + " " + prose(9500 + i, 60)]
+        if min(len(x), len(y)) >= 46 and m / (len(x) + len(y) - m) >= 0.8:
+            want |= {2 * i, 2 * i + 1}
+    got = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) > 150 and want <= got
+
+
+def test_copies_of_passages(spark):
+    """Copies are one text: a class as a whole; versions of one doc_id, nulls and repeated rows are defined."""
+    p = prose(40, 70)
+    rows = [(1, p), (2, p.upper()), (2, p.upper()), (3, "x " + p + " y"), (4, None), (5, ""), (6, prose(41, 49)), (7, prose(41, 49)), (None, p), (3, prose(42, 60))]
+    got = sorted(tuple(r) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 70, 1, 2), (2, 0, 70, 1, 2), (3, 1, 71, 1, 1)]
+    assert passages.repeated_passages(spark.createDataFrame(rows[4:6], "doc_id long, text string")).count() == 0
 
 
 def test_recall_of_the_permutation_index(spark):
