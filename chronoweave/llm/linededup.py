@@ -1,20 +1,25 @@
 """Line dedup, DataFrame functions only: hashes of lines are range-partitioned with a secondary
-sort by document and position, runs are streamed, and each text gets a compressed keep bitmap.
+sort by document and position, first occurrences are streamed, and each document gets a
+compressed keep bitmap.
 
 A text (null: empty) is split at ``\\n``; a line's key is the line stripped of
 ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased.  A key of at least ``min_chars``
-code points found in at least ``min_docs`` documents (rows) loses all its lines
-(``keep_first=False``) or all but the first by (doc_id, position) (``keep_first=True``).
-
-Defined cases: a null or empty text is one empty line; empty keys are never dropped;
-a key repeated within one document counts once for it; repeated rows are documents of
-their own; an empty table gives an empty result; other columns are ignored; ties in
-doc_id are broken by the text's hash.
-
-Scale: hashes are 128 bits wide, so texts never travel with lines.  The keys of one
-document are made distinct before anything is exchanged; a hot key is spread over
-``salts`` sub-ranges by document and merged from one partial row per sub-range.  The
-only join against texts carries one bitmap per distinct text that loses lines.
+code points found in at least ``min_docs`` documents loses all its lines
+(``keep_first=False``) or all but the first by (doc_id, text hash, position)
+(``keep_first=True``).
+
+Defined cases: documents are told apart by doc_id, and all null ids are one document; a
+null or empty text is one empty line; empty keys are never dropped; a key repeated within
+one document counts once for it; rows that repeat a doc_id each get a row, but their
+versions are one document for the count; equal rows share a bitmap; an empty table gives an
+empty result; other columns are passed on by ``apply_bitmaps`` whatever their names.
+
+Scale: texts are split twice, once for the hashes and once to be rebuilt.  The hashed lines
+(128 bits, id, text hash, position) are kept in shared storage, so the sampling of the range
+partitioner does not split them again.  Ranges are cut by (hash, document), so a hot key
+lies in many partitions, each of which sends one row to its count.  The join of counted keys
+with the lines is salted by document.  A document's dropped positions become runs by one
+sorted window; nothing is quadratic in the lines of a text.
 """
 
 from __future__ import annotations
@@ -23,18 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textops import read
+from ..storage import kept
+from .textops import read, unused
 
-STRIP = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FP = ["t1", "t2"]
 TRIM = " \t\n\x0b\x0c\r"
+DOC = ["doc", "t"]
 
 
-def text_print(text) -> list:
-    """128-bit fingerprint of a text, null as empty."""
-    t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(7), t).alias("t2")]
+def text_print(text):
+    """Hash of a text, null as empty; with the doc_id it names a version of a document."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def line_array(text):
@@ -46,98 +50,59 @@ def key_of(line):
 
 
 def lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """Rows (h1, h2, salt source doc, t1, t2, pos): the lines whose keys may be dropped."""
-    d = docs.select(F.col("doc_id").alias("doc"), *text_print(F.col("text")), line_array(F.col("text")).alias("ls"))
-    d = d.select("doc", *FP, F.posexplode("ls").alias("pos", "line")).select("doc", *FP, "pos", key_of(F.col("line")).alias("k"))
-    return d.where(F.char_length("k") >= max(1, min_chars)).select("doc", *FP, "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
+    """Rows (h1, h2, doc, t, pos): the lines whose keys may be dropped."""
+    d = docs.select(F.col("doc_id").alias("doc"), text_print(F.col("text")).alias("t"), F.posexplode(line_array(F.col("text"))).alias("pos", "line"))
+    d = d.select("doc", "t", "pos", key_of(F.col("line")).alias("k")).where(F.char_length("k") >= max(1, min_chars))
+    return d.select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"), "doc", "t", "pos")
 
 
-def document_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """Rows (h1, h2, doc, t1, t2, pos): each document's distinct keys at their first position."""
-    d = docs.select(F.col("doc_id").alias("doc"), *text_print(F.col("text")), F.transform(line_array(F.col("text")), key_of).alias("ks"))
-    ks = F.filter(F.array_distinct(F.col("ks")), lambda k: F.char_length(k) >= max(1, min_chars))
-    d = d.select("doc", *FP, F.explode(ks).alias("k"))
-    return d.select("doc", *FP, F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
+def repeated_keys(rows: DataFrame, min_docs: int) -> DataFrame:
+    """h1, h2, n, first: keys found in at least ``min_docs`` documents, with their number and the first (doc, t, pos).
 
-
-def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int = 1, salts: int = 16) -> DataFrame:
-    """Keys found in at least ``min_docs`` documents, with the number and the first (doc, text print).
-
-    The rows are range-partitioned by (hash, salt) and sorted by document within; the
-    aggregates stream over the runs without another exchange, and one row per run is
-    merged by hash.
+    The rows are range-partitioned by (hash, document) and sorted by position within; both
+    first occurrences, of a document and of a partition, stream over the runs, and one row
+    for each key and partition is merged by hash.
     """
-    rows = document_keys(docs, min_chars).withColumn("salt", F.pmod(F.col("t1"), F.lit(salts)).cast("int"))
-    runs = (
-        rows.repartitionByRange("h1", "h2", "salt")
-        .sortWithinPartitions("h1", "h2", "salt", "doc", "t1", "t2")
-        .groupBy("h1", "h2", "salt")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc", "t1", "t2")).alias("first"))
-    )
-    return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
+    runs = rows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "t", "pos")
+    by_doc = runs.groupBy("h1", "h2", "doc").agg(F.min(F.struct("t", "pos")).alias("at"))  # no exchange: the ranges hold whole (hash, document) runs
+    got = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at.t", "at.pos")).alias("first"))
+    return got.where(F.col("n") >= min_docs)
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, salts: int = 16) -> DataFrame:
-    """One row per distinct text that loses lines: t1, t2, n_dropped and ``keep``, the run-length
+    """One row for each version of a document that loses lines: doc, t, n_dropped and ``keep``, the run-length
     encoded bitmap (lengths of kept and dropped runs in turn, the last kept run left open)."""
-    again = repeated_keys(docs, min_docs, min_chars, salts)
-    hits = lines(docs, min_chars).join(again, ["h1", "h2"])
+    rows = kept(lines(docs, min_chars))
+    again = repeated_keys(rows, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "t"), F.lit(salts)).cast("int")).join(again, ["h1", "h2", "salt"])
     if keep_first:
-        own = hits.where((F.col("first.t1") == F.col("t1")) & (F.col("first.t2") == F.col("t2")) & F.col("first.doc").eqNullSafe(F.col("doc")))
-        firsts = own.groupBy("h1", "h2").agg(F.min("pos").alias("p0"), F.first("first").alias("f0")).select("h1", "h2", "p0")
-        hits = hits.join(firsts, ["h1", "h2"])
-        first = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.t1") == F.col("t1")) & (F.col("first.t2") == F.col("t2")) & (F.col("pos") == F.col("p0"))
-        hits = hits.where(~first).withColumn("doc_key", F.col("doc"))
-    else:
-        hits = hits.withColumn("doc_key", F.lit(None).cast("long"))
-    per = hits.groupBy(*FP, "doc_key").agg(F.array_sort(F.collect_set("pos")).alias("d"))
-    return per.select(*FP, "doc_key", F.size("d").cast("long").alias("n_dropped"), runs_of(F.col("d")).alias("keep"))
-
-
-def runs_of(d):
-    """Alternating run lengths of sorted dropped positions: kept, dropped, kept, ..."""
-    folded = F.aggregate(
-        d,
-        F.struct(F.array().cast("array<int>").alias("r"), F.lit(0).alias("kept"), F.lit(0).alias("gone"), F.lit(0).alias("at")),
-        lambda s, p: F.when(
-            (p == s["at"]) & (s["gone"] > 0), F.struct(s["r"].alias("r"), s["kept"].alias("kept"), (s["gone"] + 1).alias("gone"), (p + 1).alias("at"))
-        ).otherwise(
-            F.struct(
-                F.when(s["gone"] > 0, F.concat(s["r"], F.array(s["kept"], s["gone"]))).otherwise(s["r"]).alias("r"),
-                (p - s["at"]).alias("kept"),
-                F.lit(1).alias("gone"),
-                (p + 1).alias("at"),
-            )
-        ),
-        lambda s: F.concat(s["r"], F.array(s["kept"], s["gone"])),
-    )
-    return F.when(F.size(d) > 0, folded)
+        hits = hits.where(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.t") == F.col("t")) & (F.col("first.pos") == F.col("pos"))))
+    w = Window.partitionBy(*DOC).orderBy("pos")
+    # equal rows give equal positions, which rank alike and fall together
+    runs = hits.select(*DOC, "pos", (F.col("pos") - F.dense_rank().over(w)).alias("island")).groupBy(*DOC, "island").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("z"))
+    r = Window.partitionBy(*DOC).orderBy("a")
+    runs = runs.select(*DOC, "a", (F.col("a") - F.coalesce(F.lag("z").over(r), F.lit(0))).alias("stay"), (F.col("z") - F.col("a")).alias("go"))
+    per = runs.groupBy(*DOC).agg(F.sum("go").alias("n_dropped"), F.array_sort(F.collect_list(F.struct("a", "stay", "go"))).alias("runs"))
+    return per.select(*DOC, "n_dropped", F.flatten(F.transform("runs", lambda x: F.array(x["stay"], x["go"]))).alias("keep"))
 
 
 def kept_text(ls, keep):
-    """Kept lines joined by ``\\n``; slices of kept runs only; run ends are summed anew for each run."""
-    n = F.size(ls)
-    ends = F.transform(F.sequence(F.lit(1), F.size(keep)), lambda i: F.aggregate(F.slice(keep, 1, i), F.lit(0), lambda a, x: a + x))
-    starts = F.concat(F.array(F.lit(0)), ends)
-    segs = F.transform(F.filter(F.sequence(F.lit(1), F.size(starts)), lambda i: i % 2 == 1), lambda i: F.slice(ls, F.element_at(starts, i) + 1, F.when(i == F.size(starts), n - F.element_at(starts, i)).otherwise(F.element_at(keep, i))))
-    return F.when(keep.isNull(), F.array_join(ls, "\n")).otherwise(F.array_join(F.flatten(segs), "\n"))
-
-
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, by_document: bool = False) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept (the remaining text)."""
-    d = docs.select(*[docs[c] for c in docs.columns if c not in ("t1", "t2", "keep", "n_lines", "n_dropped", "kept", "doc_key")], *text_print(docs["text"]))
-    b = bitmaps.withColumnsRenamed({"t1": "b1", "t2": "b2"})
-    on = (d["t1"] == b["b1"]) & (d["t2"] == b["b2"])
-    if by_document:
-        on = on & d["doc_id"].eqNullSafe(b["doc_key"])
-    ls = line_array(F.col("text"))
-    return (
-        d.join(b, on, "left")
-        .withColumn("n_lines", F.size(ls).cast("long"))
-        .withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-        .withColumn("kept", kept_text(ls, F.col("keep")))
-        .drop("b1", "b2", "t1", "t2", "keep", "doc_key")
-    )
+    """Kept lines joined by ``\\n``; each line meets its own flag, so the cost is linear."""
+    flags = F.flatten(F.transform(keep, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    rest = F.filter(F.arrays_zip(ls.alias("line"), flags.alias("stay")), lambda x: F.coalesce(x["stay"], F.lit(True)))
+    return F.array_join(F.transform(rest, lambda x: x["line"]), "\n")
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped", text: str = "kept") -> DataFrame:
+    """``docs`` with the number of lines, of dropped lines, and the remaining text, under the names given (which replace columns of that name)."""
+    out = (n_lines, n_dropped, text)
+    ls, doc, t, gone, keep = unused(docs, 5, *out)
+    b = bitmaps.toDF(doc, t, gone, keep)
+    d = docs.withColumn(ls, text_print(F.col("text")))
+    j = d.join(b, d["doc_id"].eqNullSafe(b[doc]) & (d[ls] == b[t]), "left").withColumn(ls, line_array(F.col("text")))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    made = [F.size(ls).cast("long").alias(n_lines), F.coalesce(gone, F.lit(0)).cast("long").alias(n_dropped), F.when(F.col(keep).isNull(), whole).otherwise(kept_text(F.col(ls), F.col(keep))).alias(text)]
+    return j.select(*[docs[c] for c in docs.columns if c not in out], *made)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,12 +112,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with l as (
-  select doc_id, u.i as pos, u.line as line, translate(regexp_replace(u.line, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'),
+with r as (select row_number() over () as rid, doc_id, text from documents),
+l as (
+  select rid, doc_id, u.i as pos, u.line as line, translate(regexp_replace(u.line, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
-  from (select doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'line': x, 'i': i})) as u from documents)
-), f as (select k from l where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
-select l.doc_id, count(*)::bigint as n_lines, (count(*) filter (where f.k is not null))::bigint as n_dropped,
+  from (select rid, doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'line': x, 'i': i})) as u from r)
+), f as (select k from l where length(k) >= 1 group by k having count(distinct coalesce(doc_id::varchar, '')) >= 10)
+select any_value(l.doc_id) as doc_id, count(*)::bigint as n_lines, (count(*) filter (where f.k is not null))::bigint as n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where f.k is null), '')) as kept_sha256
-from l left join f on l.k = f.k group by l.doc_id
+from l left join f on l.k = f.k group by l.rid
 """

@@ -161,6 +161,12 @@ def map_text(df, fn, columns: dict[str, pa.DataType], keep: list[str], text: str
     return src.mapInArrow(run, schema)
 
 
+def unused(df, n: int, *taken: str) -> list[str]:
+    """n column names that neither ``df`` nor ``taken`` has, whatever their case."""
+    have = {c.lower() for c in (*df.columns, *taken)}
+    return [x for x in (f"__x{i}" for i in range(len(have) + n)) if x not in have][:n]
+
+
 def read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -117,12 +117,37 @@ def test_decontamination_by_brute_force(spark):
 
 
 def test_line_dedup_keep_first(spark):
-    docs = spark.createDataFrame([(1, "A\n b\nA"), (2, "a\nc"), (3, None), (2, "a\nc")], "doc_id long, text string")
-    out = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, 2, keep_first=True), by_document=True)
-    got = sorted((r["doc_id"], r["kept"], r["n_dropped"]) for r in out.collect())
-    assert (1, "A\n b", 1) in got and (3, "", 0) in got
+    docs = spark.createDataFrame([(1, "A\n b\nA"), (2, "a\nc"), (3, None), (2, "a\nc"), (None, "c"), (None, "C \nz")], "doc_id long, text string")
+    one = docs.where("text <> 'C \\nz' or text is null")
+    out = linededup.apply_bitmaps(one, linededup.keep_bitmaps(one, 2, keep_first=True))
+    got = sorted((str(r["doc_id"]), r["kept"], r["n_dropped"]) for r in out.collect())
+    assert got == [("1", "A\n b", 1), ("2", "", 2), ("2", "", 2), ("3", "", 0), ("None", "c", 0)]
+    # versions of one document and null ids count once
     out = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, 3))
-    assert sorted((r["doc_id"], r["kept"]) for r in out.collect()) == [(1, " b"), (2, "c"), (2, "c"), (3, "")]
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in out.collect()) == [("1", "A\n b\nA"), ("2", "a\nc"), ("2", "a\nc"), ("3", ""), ("None", "C \nz"), ("None", "c")]
+    out = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, 2))
+    assert sorted((str(r["doc_id"]), r["kept"], r["n_lines"]) for r in out.collect()) == [("1", " b", 3), ("2", "", 2), ("2", "", 2), ("3", "", 1), ("None", "", 1), ("None", "z", 2)]
+    assert linededup.apply_bitmaps(docs.limit(0), linededup.keep_bitmaps(docs.limit(0), 2)).count() == 0
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """100,000 lines that stay and go in turn, among ten short documents."""
+    import time
+
+    long = "\n".join(f"own {i}" if i % 2 else f"common {i % 500}" for i in range(100_000))
+    common = "\n".join(f"Common {i}" for i in range(0, 500, 2))
+    docs = spark.createDataFrame([(0, long)] + [(i, common) for i in range(1, 11)], "doc_id long, text string")
+    at = time.time()
+    got = {r["doc_id"]: r for r in linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, 10)).collect()}
+    assert time.time() - at < 60
+    assert got[0]["n_dropped"] == 50_000 and got[0]["kept"] == "\n".join(f"own {i}" for i in range(1, 100_000, 2)) and got[3]["kept"] == "" and got[3]["n_dropped"] == 250
+
+
+def test_line_dedup_passes_any_column_on(spark):
+    names = ["keep", "t", "doc", "kept", "n_dropped", "n_lines", "__x0", "__X1", "pos", "h1", "ls"]
+    docs = spark.createDataFrame([(1, "a\nb", *names), (2, "a", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, 2), "o1", "o2", "o3").orderBy("doc_id").collect()
+    assert [r["o3"] for r in got] == ["b", ""] and all(r[n] == n for r in got for n in names)
 
 
 def test_personal_data_by_brute_force(spark):
