@@ -3,24 +3,34 @@
 Base spans (email, ip, card, phone) follow fixed patterns.  The field labels candidate
 tokens: space-separated tokens with a digit, '@' or '+'.  Every other token is fixed to
 "none", which is exact for the model, since its potentials forbid any other label.  A
-token has a unary potential from its shape and context, neighbours share a transition
-potential, and equal or similar tokens anywhere in the document (the same digits, or the
-same letters before '@') share a skip potential.  Loopy sum-product messages pass along
-both kinds of edges until they settle; a token whose label is sure (``sure``) adds a
-span unless it touches a base span.  Each occurrence is linked to the one before it and
-to the first, so edges grow linearly.
-
-Weights are learned without hand labels: base matches in a bounded sample of documents
-(``sample_docs`` rows in the order of a hash) label their tokens, logistic regression
-gives the unary weights, and counts of label pairs along edges give the potentials.
+token has a unary potential from its shape and context; neighbours share a chain potential;
+similar tokens anywhere in the document share a skip potential: those at the end of number
+runs with the same last seven digits (however spaced or punctuated), and those with the same
+mailbox name (with or without its domain).  Loopy sum-product messages pass along both kinds
+of edges, so a mention that no pattern matches (a number broken by a neighbour, a mailbox
+without its domain, other separators) takes the label of the mention it repeats.  Tokens
+whose label is sure (``sure``) become spans, neighbours of one label one span, unless they
+touch a base span, whose tokens are fixed to their label.  Each occurrence is linked to the
+one before it and to the first, so edges grow linearly.
+
+Weights of all three potentials are learned together by pseudo-likelihood, without hand
+labels: base matches in a bounded sample of documents (``sample_docs`` rows in the order of
+a hash, of less than ``max_chars`` characters each; both are parameters, and longer texts
+are searched whole all the same) label their tokens.  As the patterns find every intact
+mention, repeats that they miss are made: in the sample's texts some matches are repeated in
+broken form and labelled alike, and as many broken mentions without a partner are labelled
+none, so a broken shape alone proves nothing and the skip potential has to decide.  Matches
+that the patterns drop for their digits are left out of the likelihood.
 
 Defined cases: null and empty texts have no spans; every row gets a row; ties of equal
-starts follow the order of the kinds; other columns are ignored.
+starts follow the order of the kinds; other columns are ignored; without any base match in
+the sample the field adds nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import uuid
 
@@ -41,8 +51,6 @@ CANDIDATE = re.compile(r"[^\s]*[0-9@+][^\s]*")
 NOT_DIGIT = re.compile(r"[^0-9]")
 EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
 N_LABELS = 5
-#: prior pairs of equal labels on skip edges, on which documents seldom have evidence
-SAME = 20
 _models: dict = {}
 
 
@@ -91,11 +99,17 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def unsure_spans(t: str) -> list[tuple[int, int]]:
+    """Matches that the patterns drop for their digits: they may hold data that a neighbour spoils, so nothing is learned from them."""
+    out = [m.span() for m in CARD.finditer(t) if m.end() - m.start() >= 12]
+    return sorted(out + [m.span() for m in PHONE.finditer(t)])
+
+
 def tokens(t: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(t)]
 
 
-NAMES = ["bias", "at", "plus", "dots3", "dot", "alldigit", "long", "mid", "short", "letters", "paren", "hyphen", "near", "eq", "hex", "mail"]
+NAMES = ["bias", "at", "plus", "dots3", "dot", "alldigit", "long", "mid", "short", "letters", "paren", "hyphen", "near", "eq", "hex", "mail", "few", "sum", "bytes"]
 
 
 def features(t: str, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -107,17 +121,28 @@ def features(t: str, spans: list[tuple[int, int]]) -> np.ndarray:
         x[i] = (
             1, "@" in w, w.startswith("+"), w.count(".") == 3 and alpha == 0, "." in w, d > 0 and d == len(w), d >= 12, 7 <= d < 12, d < 4, alpha > 0, "(" in w,
             "-" in w and alpha == 0, (i > 0 and s - spans[i - 1][1] == 1) or (i + 1 < len(spans) and spans[i + 1][0] - e == 1), "=" in w, alpha > 0 and d > 3, "@" in w and "." in w[w.find("@") + 1 :],
+            4 <= d < 7, 12 <= d <= 19 and alpha == 0 and luhn(NOT_DIGIT.sub("", w)), w.count(".") == 3 and alpha == 0 and all(p and _part_ok(p) for p in w.split(".")),
         )
     return x
 
 
 def skip_keys(t: str, spans) -> list[str]:
-    out = []
-    for s, e in spans:
-        w = t[s:e]
-        d = NOT_DIGIT.sub("", w)
+    """What makes tokens similar: the last seven digits of the number run that ends here, or the mailbox name; '' for none."""
+    out, run = [], ""
+    for i, (s, e) in enumerate(spans):
+        w = EDGE.sub("", t[s:e])
         at = w.find("@")
-        out.append("@" + w[:at].lower() if at > 2 else d if len(d) >= 6 else "")
+        digits = NOT_DIGIT.sub("", w)
+        if at > 2 or (at < 0 and digits and any(c.isalpha() for c in w)):
+            out.append("@" + (w[:at] if at > 2 else w).lower())
+            run = ""
+            continue
+        run += digits
+        if i + 1 < len(spans) and spans[i + 1][0] - e <= 1 and t[spans[i + 1][0]] != "+" and len(digits) < 12:
+            out.append("")  # the run goes on
+            continue
+        out.append(run[-7:] if len(run) >= 7 else "")
+        run = ""
     return out
 
 
@@ -158,7 +183,7 @@ def token_labels(spans, base) -> np.ndarray:
     return out
 
 
-def propagate(unary: np.ndarray, a, b, kind, pair: np.ndarray, rounds: int = 15) -> np.ndarray:
+def propagate(unary: np.ndarray, a, b, kind, pair: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Marginals by damped loopy sum-product; pair: log potentials (edge kind, label, label)."""
     if not len(a):
         z = unary - unary.max(1, keepdims=True)
@@ -173,10 +198,10 @@ def propagate(unary: np.ndarray, a, b, kind, pair: np.ndarray, rounds: int = 15)
         np.add.at(belief, dst, msg)
         out = belief[src] - msg[back]
         out -= out.max(1, keepdims=True)
-        new = np.log(np.einsum("ei,eij->ej", np.exp(out), pot) + 1e-12)
+        new = np.log(np.einsum("ei,eij->ej", np.exp(out), pot) + 1e-300)
         new -= new.max(1, keepdims=True)
-        done = np.abs(new - msg).max() < 1e-4
-        msg = 0.5 * msg + 0.5 * new
+        done = np.abs(new - msg).max() < 1e-6
+        msg = 0.3 * msg + 0.7 * new
         if done:
             break
     belief = unary.copy()
@@ -186,67 +211,132 @@ def propagate(unary: np.ndarray, a, b, kind, pair: np.ndarray, rounds: int = 15)
     return p / p.sum(1, keepdims=True)
 
 
-def learn(texts: list[str], rounds: int = 200) -> dict:
-    xs, ys, pairs = [], [], np.ones((2, N_LABELS, N_LABELS))
-    pairs[1] += SAME * np.eye(N_LABELS)
+def broken(kind: int, w: str, r: random.Random) -> str:
+    """A mention of the same data that its pattern does not match."""
+    if kind == 0:
+        local, domain = w.split("@", 1)
+        return r.choice([f"{local}@{domain.split('.')[0]}", local, f"{local}@"])
+    d = NOT_DIGIT.sub("", w)
+    if kind == 1:
+        return w.replace(".", r.choice(["-", "/", ","]))
+    if kind == 2:
+        sep = r.choice([".", "/", "_"])
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    return r.choice([f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-7:-4]}-{d[-4:]}", d[-10:]])
+
+
+def other(w: str, r: random.Random) -> str:
+    """The same shape with other letters and digits."""
+    return "".join(r.choice("0123456789") if c.isdigit() else r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in w)
+
+
+def with_repeats(t: str, base, r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with a broken mention of each match, or of nothing, at word gaps; and the spans (start, kind, end) to learn."""
+    gaps = [m.start() for m in re.finditer(r"\s", t)]
+    free = [g for g in gaps if not any(s - 2 <= g <= e + 1 for s, _, e in base)]
+    if not free:
+        return t, list(base)
+    put = []
+    for s, k, e in base:
+        w = broken(k, t[s:e], r)
+        put.append((r.choice(free), w, k))
+        put.append((r.choice(free), other(w, r), None))
+    out, spans, at, moved = [], [], 0, []
+    for g, w, k in sorted(put, key=lambda x: x[0]):
+        out.append(t[at:g] + " x " + w + " x")  # apart from its neighbours
+        n = sum(map(len, out))
+        if k is not None:
+            spans.append((n - 2 - len(w), k, n - 2))
+        moved.append((g, len(w) + 5))
+        at = g
+    text = "".join(out) + t[at:]
+    shift = lambda x: x + sum(n for g, n in moved if g < x)
+    return text, sorted(spans + [(shift(s), k, shift(e)) for s, k, e in base])
+
+
+def learn(texts: list[str], rounds: int = 300, rate: float = 0.1) -> dict | None:
+    """Weights of the unary, chain and skip potentials, by pseudo-likelihood (Adam on the whole sample); None without a match."""
+    r = random.Random(7)
+    xs, ys, ends, n = [], [], [], 0
     for t in texts:
-        sp = tokens(t)
-        if not sp:
-            continue
-        y = token_labels(sp, base_spans(t))
-        xs.append(features(t, sp))
-        ys.append(y)
-        a, b, kind = edges(t, sp)
-        for i, j, k in zip(a, b, kind, strict=True):
-            pairs[k, y[i], y[j]] += 1
-            pairs[k, y[j], y[i]] += 1
-    w = np.zeros((len(NAMES), N_LABELS))
-    if xs:
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        goal = np.eye(N_LABELS)[y]
-        for _ in range(rounds):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 1.5 * (x.T @ (p - goal) / len(x) + 1e-4 * w)
-    share = pairs.sum(2, keepdims=True) / pairs.sum((1, 2), keepdims=True)
-    return {"w": w, "pair": np.log(pairs / pairs.sum((1, 2), keepdims=True)) - np.log(share) - np.log(share.transpose(0, 2, 1))}
-
-
-def added_spans(t: str, base, model: dict, sure: float) -> list[tuple[int, int, int]]:
-    sp = tokens(t)
+        base = base_spans(t)
+        for text, spans in ((t, base), with_repeats(t, base, r)) if base else ((t, base),):
+            sp = tokens(text)
+            if not sp:
+                continue
+            y = token_labels(sp, spans)
+            sure = (y > 0) | (token_labels(sp, [(s, 0, e) for s, e in unsure_spans(text)]) == 0)
+            a, b, kind = edges(text, sp)
+            both = sure[a] & sure[b]
+            at = np.cumsum(sure) - 1 + n
+            xs.append(features(text, sp)[sure])
+            ys.append(y[sure])
+            ends.append((at[a[both]], at[b[both]], kind[both]))
+            n += int(sure.sum())
+    if not xs or not any(y.any() for y in ys):
+        return None
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    a, b, kind = (np.concatenate([e[i] for e in ends]).astype(int) for i in range(3))
+    goal = np.eye(N_LABELS)[y]
+    p = {"w": np.zeros((len(NAMES), N_LABELS)), "pair": np.zeros((2, N_LABELS, N_LABELS))}
+    m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
+    for step in range(1, rounds + 1):
+        z = x @ p["w"]
+        np.add.at(z, b, p["pair"][kind, y[a]])  # what each neighbour's label says
+        np.add.at(z, a, p["pair"].transpose(0, 2, 1)[kind, y[b]])
+        d = np.exp(z - z.max(1, keepdims=True))
+        d = (d / d.sum(1, keepdims=True) - goal) / len(x)
+        g = {"w": x.T @ d + 1e-4 * p["w"], "pair": 1e-4 * p["pair"]}
+        np.add.at(g["pair"], (kind, y[a]), d[b])
+        np.add.at(g["pair"].transpose(0, 2, 1), (kind, y[b]), d[a])
+        for k in p:
+            m[k][0] = 0.9 * m[k][0] + 0.1 * g[k]
+            m[k][1] = 0.999 * m[k][1] + 0.001 * g[k] ** 2
+            p[k] = p[k] - rate * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.999**step)) + 1e-9)
+    return p
+
+
+def added_spans(t: str, base, model: dict | None, sure: float) -> list[tuple[int, int, int]]:
+    """The field's spans beside the base ones; tokens of one label with one blank between them make one span."""
+    sp = tokens(t) if model else []
     if not sp:
         return []
     a, b, kind = edges(t, sp)
     unary = features(t, sp) @ model["w"]
     known = token_labels(sp, base)
-    unary[known > 0] = -20
+    unary[known > 0] = -50
     unary[np.flatnonzero(known > 0), known[known > 0]] = 0
     p = propagate(unary, a, b, kind, model["pair"])
     best = p.argmax(1)
-    out = []
-    for i in np.flatnonzero((known == 0) & (best > 0) & (p[np.arange(len(p)), best] >= sure)):
+    out, before = [], -2
+    for i in np.flatnonzero((known == 0) & (best > 0) & (p[np.arange(len(p)), best] >= sure)).tolist():
         s, e = sp[i]
         w = EDGE.sub("", t[s:e])
-        s = t.find(w, s, e) if w else s
-        if w and len(NOT_DIGIT.sub("", w)) + 4 * ("@" in w) >= 4:
-            out.append((s, int(best[i]) - 1, s + len(w)))
-    return out
+        if not w:
+            continue
+        s = t.find(w, s, e)
+        e, k = s + len(w), int(best[i]) - 1
+        if before == i - 1 and out[-1][1] == k and s - out[-1][2] <= 2 and not any(out[-1][2] <= x < s for x, _, _ in base):
+            out[-1] = (out[-1][0], k, e)
+        else:
+            out.append((s, k, e))
+        before = i
+    return [x for x in out if len(NOT_DIGIT.sub("", t[x[0] : x[2]])) >= 4 or x[1] == 0]
 
 
 def spans_text(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def train(docs: DataFrame, sample_docs: int = 2000) -> dict:
-    """The field's weights, from ``sample_docs`` rows that hold a digit or '@'."""
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).where(F.length("text") < 50_000)
-    near = docs.where("text rlike '[0-9@]' and length(text) < 50000").select(F.xxhash64("text").alias("h")).orderBy("h").limit(sample_docs)
-    got = rows.join(F.broadcast(near.distinct()), "h").dropDuplicates(["h"])  # sample_docs rows at most
-    return learn(sorted(r for r in got.select("text").toArrow()["text"].to_pylist()))
+def train(docs: DataFrame, sample_docs: int = 2000, max_chars: int = 50_000) -> dict | None:
+    """The field's weights, from ``sample_docs`` different texts under ``max_chars`` that hold a digit or '@'."""
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < max_chars)).select("text", F.xxhash64("text").alias("h"))
+    near = some.select("h").distinct().orderBy("h").limit(sample_docs)
+    got = some.join(F.broadcast(near), "h").groupBy("h").agg(F.min("text").alias("text"))  # sample_docs rows at most
+    return learn(sorted(got.select("text").toArrow()["text"].to_pylist()))
 
 
-def find(docs: DataFrame, model: dict, keep: list[str], sure: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, model: dict | None, keep: list[str], sure: float = 0.9) -> DataFrame:
     """``docs[keep]`` with counts of base spans, base and spans (kind:start:end, comma-joined)."""
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 

@@ -165,12 +165,62 @@ def test_personal_data_by_brute_force(spark):
         assert pii.base_spans(t) == sorted(want)
 
 
-def test_skip_chain_finds_repeats():
-    m = pii.learn(["call +1 (555) 555-0142 now", "mail a.bcd@x.org or see 10.0.0.1", "it was 20 of 33 and 7"] * 20)
-    t = "write bob.smith@corp.example.com and then bob.smith@corp again, in 1999"
-    base = pii.base_spans(t)
-    assert [t[s:e] for s, _, e in pii.added_spans(t, base, m, 0.5)] == ["bob.smith@corp"]
-    assert pii.added_spans("nothing here in 1999 of 20", [], m, 0.9) == []
+@pytest.fixture(scope="module")
+def field():
+    r = random.Random(3)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = []
+    for i in range(150):
+        own = [f"{prose(i, 1)}.{d(2)}@mail{d(1)}.example.com", f"+1 ({d(3)}) 555-{d(4)}", f"4{d(2)}.{r.randint(1, 250)}.{r.randint(1, 250)}.7", "4111 1111 1111 1111".replace(" ", r.choice(["", " ", "-"])), f"{d(4)} of {d(2)}", d(r.randint(1, 9))]
+        texts.append(" ".join(prose(100 * i + j, 6) + " " + x for j, x in enumerate(r.sample(own, 3))) + " " + prose(i, 20))
+    return pii.learn(texts)
+
+
+def test_skip_chain_finds_repeats(field):
+    """Repeats that no pattern matches take the label of what they repeat; the same shapes alone stay unlabelled."""
+    more = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.added_spans(t, pii.base_spans(t), field, 0.9)]
+    assert more("write to bob.smith7@corp.example.com now, and then bob.smith7@corp again, in 19 of 20") == [("email", "bob.smith7@corp")]
+    assert ("phone", "988-555-2485") in more("call us at +1 (988) 555-2485 or, as said before, at 988-555-2485 if you can") and more("if you can call us at 988-555-2485 or so") == []
+    assert more("the card 4111 1111 1111 1111 was written 4111.1111.1111.1111 as well") == [("card", "4111.1111.1111.1111")]
+    assert more("nothing here in 1999 of 20") == [] and pii.added_spans("", [], field, 0.9) == [] and pii.added_spans("a@b 7", [], None, 0.9) == []
+
+
+def test_propagation_by_enumeration():
+    rng = np.random.default_rng(1)
+
+    def exact(u, a, b, kind, pair):
+        n, out = len(u), np.zeros_like(u)
+        for y in itertools.product(range(5), repeat=n):
+            w = np.exp(sum(u[i, y[i]] for i in range(n)) + sum(pair[k, y[i], y[j]] for i, j, k in zip(a, b, kind, strict=True)))
+            out[np.arange(n), list(y)] += w
+        return out / out.sum(1, keepdims=True)
+
+    trees = [([0, 1, 2], [1, 2, 3], [0, 0, 0]), ([0, 0, 0, 3], [1, 2, 3, 4], [1, 0, 1, 0])]
+    for a, b, kind in trees:
+        u, pair = rng.normal(0, 2, (max(b) + 1, 5)), rng.normal(0, 1, (2, 5, 5))
+        got = pii.propagate(u, np.array(a), np.array(b), np.array(kind), pair, 300)
+        assert np.allclose(got, exact(u, a, b, kind, pair), atol=1e-6)
+    for _ in range(5):  # a loop: two neighbours repeated further on
+        u, pair = rng.normal(0, 2, (4, 5)), rng.normal(0, 0.5, (2, 5, 5))
+        a, b, kind = [0, 2, 0, 1], [1, 3, 2, 3], [0, 0, 1, 1]
+        assert np.abs(pii.propagate(u, np.array(a), np.array(b), np.array(kind), pair, 300) - exact(u, a, b, kind, pair)).max() < 0.05
+
+
+def test_spans_of_documents(spark, field):
+    """The DataFrame operator by the functions it is made of, text by text; base spans are all kept."""
+    texts = [None, "", "a@b.cd then a@b.cd", "call +1 (988) 555-2485 or 988-555-2485", "x " * 60_000 + "joe12@here.org and joe12@here", "7 7 7"]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(3, texts[3], "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = pii.find(docs, field, ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        base = pii.base_spans(t)
+        assert r["base_sha256"] == hashlib.sha256(pii.spans_text(base).encode()).hexdigest()
+        assert r["spans"] == pii.spans_text(sorted({*base, *pii.added_spans(t, base, field, 0.9)}))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == i for x in base) for i in range(4)]
+    by = {r["doc_id"]: r["spans"] for r in got}
+    assert by[0] == by[1] == by[5] == "" and by[2].count("email") == 2 and by[3] == "phone:5:22,phone:26:38" and by[4].count("email") == 2
 
 
 def test_near_classes_by_brute_force(spark):
