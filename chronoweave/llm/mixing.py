@@ -6,16 +6,22 @@ cell's calibrated probability, the cell's weight over the largest weight (so the
 largest is kept whole).  The draw is a hash of the document's id and text with a seed,
 so it is repeatable and repeated rows share it.
 
-Targets default to tempered shares: the share of tokens to the power ``temper``.  Where
-no topic column exists, ``topic_of`` gives a stand-in, a hash bucket of the first line.
+Targets default to tempered shares: the share of tokens to the power ``temper``.  Topics
+are a Column of the caller's; without one, ``topic_of`` sorts texts by their form (none,
+numeric, markup, list, brief, prose), which needs no model and no sample.
+
+Raking ends when a round changes no weight by more than ``EXACT`` of itself, or after
+``rounds`` rounds (margins that contradict each other, such as a target for a language that
+no source with weight has, never settle); ``misfit`` tells how far margins are off.
 
 Defined cases: null source, lang or topic form the value '(none)'; a document without
 words weighs one token; targets that name no present value are ignored and the rest are
-rescaled; an empty table gives an empty result; other columns are ignored or passed on.
+rescaled; an empty table gives an empty result; other columns are passed on whatever their
+names; output columns replace columns of their names.
 
-Scale: one partial aggregation by cell.  Up to ``max_cells`` cells (checked first) the
-raking runs in numpy on the driver; beyond, the margins are joined as DataFrames, with a
-checkpoint after each round.
+Scale: one partial aggregation by cell.  Up to ``max_cells`` cells (counted first) the
+raking runs in numpy on the driver and the weights are broadcast, so texts never move;
+beyond, the margins are joined as DataFrames, kept after each round.
 """
 
 from __future__ import annotations
@@ -24,15 +30,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import read
+from ..storage import kept
+from .textops import read, unused
 
 DIMS = ("source", "lang", "topic")
-ROUNDS, TEMPER, TOPICS = 30, 0.7, 8
+ROUNDS, TEMPER, EXACT = 30, 0.7, 1e-13
+OUT = ("topic", "tokens", "weight", "keep_prob", "sampled")
+#: characters of numbers, of code and mark-up
+DIGITS, MARKS = "0123456789", "{}<>=;$|"
 
 
 def topic_of(text):
-    first = F.lower(F.substring_index(F.coalesce(text, F.lit("")), "\n", 1))
-    return F.concat(F.lit("t"), (F.conv(F.substring(F.md5(first), 1, 6), 16, 10).cast("long") % TOPICS).cast("string"))
+    """The form of a text: none (blank), numeric (a tenth digits), markup (a fiftieth marks), list (4 lines or more of 40 characters or fewer on average), brief (under 400 characters) or prose; the first that holds."""
+    t = F.coalesce(text, F.lit(""))
+    n, lines = F.length(t), F.length(t) - F.length(F.translate(t, "\n", "")) + 1
+    digits, marks = n - F.length(F.translate(t, DIGITS, "")), n - F.length(F.translate(t, MARKS, ""))
+    return F.when(F.trim(t) == "", "none").when(digits * 10 >= n, "numeric").when(marks * 50 >= n, "markup").when((lines >= 4) & (n <= lines * 40), "list").when(n < 400, "brief").otherwise("prose")
 
 
 def tokens_of(text):
@@ -58,31 +71,48 @@ def rake(cells: list[tuple], targets: list[dict], rounds: int = ROUNDS) -> np.nd
         at = {x: i for i, x in enumerate(names)}
         codes.append((np.array([at[c[d]] for c in cells]), t / t.sum() * total if t.sum() else None, len(names)))
     for _ in range(rounds):
+        was = w.copy()
         for code, t, k in codes:
             if t is None:
                 continue
             now = np.bincount(code, w * n, k)
             w *= np.where(now > 0, t / np.where(now > 0, now, 1), 0)[code]
+        if (np.abs(w - was) <= EXACT * np.abs(was)).all():
+            break
     return w
 
 
-def with_cells(docs: DataFrame, topic=None) -> DataFrame:
+def misfit(cells: list[tuple], targets: list[dict], w: np.ndarray) -> float:
+    """The largest difference between a margin's share of weighted tokens and its target share."""
+    n, worst = np.array([c[3] for c in cells], float) * w, 0.0
+    for d in range(3):
+        goal = {x: targets[d].get(x, 0.0) for x in {c[d] for c in cells}}
+        total = sum(goal.values())
+        for x, g in goal.items():
+            if total:
+                worst = max(worst, abs(n[[c[d] == x for c in cells]].sum() / n.sum() - g / total))
+    return worst
+
+
+def cell_columns(topic=None) -> list:
+    """source, lang, topic and tokens of a document."""
     none = F.lit("(none)")
-    keep = [docs[c] for c in docs.columns if c not in ("__source", "__lang", "__topic", "tokens")]
-    return docs.select(*keep, F.coalesce(F.col("source").cast("string"), none).alias("__source"), F.coalesce("lang", none).alias("__lang"), F.coalesce(topic_of(F.col("text")) if topic is None else topic, none).alias("__topic"), tokens_of(F.col("text")).alias("tokens"))
+    made = [F.col("source").cast("string"), F.col("lang").cast("string"), topic_of(F.col("text")) if topic is None else topic.cast("string")]
+    return [*[F.coalesce(c, none) for c in made], tokens_of(F.col("text"))]
 
 
 def weights(docs: DataFrame, targets: dict | None = None, topic=None, temper: float = TEMPER, rounds: int = ROUNDS, max_cells: int = 200_000) -> DataFrame:
-    """One row a cell: __source, __lang, __topic, cell_tokens, weight, keep_prob."""
+    """One row a cell: source, lang, topic, cell_tokens, weight, keep_prob."""
     spark = docs.sparkSession
-    cells = with_cells(docs, topic).groupBy("__source", "__lang", "__topic").agg(F.sum("tokens").alias("n"))
+    names = [*DIMS, "tokens"]
+    cells = docs.select(*[c.alias(n) for c, n in zip(cell_columns(topic), names, strict=True)]).groupBy(*DIMS).agg(F.sum("tokens").alias("n"))
     got = cells.limit(max_cells + 1).collect()
-    schema = "__source string, __lang string, __topic string, cell_tokens long, weight double, keep_prob double"
+    schema = "source string, lang string, topic string, cell_tokens long, weight double, keep_prob double"
     if len(got) <= max_cells:
         rows = sorted(tuple(r) for r in got)
         w = rake(rows, [_targets(rows, d, targets, temper) for d in range(3)], rounds)
         top = w.max() if len(w) else 1.0
-        return spark.createDataFrame([(*r, float(x), float(x / top) if top else 0.0) for r, x in zip(rows, w, strict=True)], schema)
+        return F.broadcast(spark.createDataFrame([(*r, float(x), float(x / top) if top else 0.0) for r, x in zip(rows, w, strict=True)], schema))  # max_cells rows at most
     return _rake_distributed(cells, targets, temper, rounds)
 
 
@@ -97,38 +127,43 @@ def _targets(rows, d, targets, temper) -> dict:
 
 def _rake_distributed(cells: DataFrame, targets, temper, rounds) -> DataFrame:
     spark = cells.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    cells = cells.withColumn("w", F.lit(1.0)).checkpoint()
+    cells = kept(cells.withColumn("w", F.lit(1.0)))
     total = cells.agg(F.sum("n")).first()[0]
     goals = []
     for d in DIMS:
-        by = cells.groupBy(f"__{d}").agg(F.sum("n").cast("double").alias("g"))
+        by = cells.groupBy(d).agg(F.sum("n").cast("double").alias("g"))
         if targets and d in targets:
-            t = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"__{d} string, g double")
-            by = by.select(f"__{d}").join(t, f"__{d}", "left").fillna(0.0)
+            t = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, g double")
+            by = by.select(d).join(t, d, "left").fillna(0.0)
         else:
             by = by.withColumn("g", F.pow("g", F.lit(temper)))
         s = by.agg(F.sum("g")).first()[0]
-        goals.append(by.withColumn("g", F.col("g") / s * total).checkpoint() if s else None)
+        goals.append(kept(by.withColumn("g", F.col("g") / s * total)) if s else None)
     for _ in range(rounds):
+        cells = cells.withColumn("was", F.col("w"))
         for d, goal in zip(DIMS, goals, strict=True):
             if goal is not None:
-                now = cells.groupBy(f"__{d}").agg(F.sum(F.col("w") * F.col("n")).alias("s")).join(goal, f"__{d}")
-                cells = cells.join(now, f"__{d}").withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col("g") / F.col("s")).otherwise(0.0)).select("__source", "__lang", "__topic", "n", "w")
-        cells = cells.checkpoint()
+                now = cells.groupBy(d).agg(F.sum(F.col("w") * F.col("n")).alias("s")).join(goal, d)
+                cells = cells.join(now, d).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col("g") / F.col("s")).otherwise(0.0)).select(*DIMS, "n", "w", "was")
+        cells = kept(cells)
+        if not cells.where(F.abs(F.col("w") - F.col("was")) > EXACT * F.abs("was")).limit(1).count():
+            break
     top = cells.agg(F.max("w")).first()[0]
-    return cells.select("__source", "__lang", "__topic", F.col("n").alias("cell_tokens"), F.col("w").alias("weight"), (F.col("w") / top).alias("keep_prob"))
+    return cells.select(*DIMS, F.col("n").alias("cell_tokens"), F.col("w").alias("weight"), (F.col("w") / top).alias("keep_prob"))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, topic=None, temper: float = TEMPER, seed: int = 1, max_cells: int = 200_000) -> DataFrame:
-    """``docs`` with topic, tokens, weight, keep_prob and sampled."""
+def mix(docs: DataFrame, targets: dict | None = None, topic=None, temper: float = TEMPER, seed: int = 1, max_cells: int = 200_000, out: tuple = OUT) -> DataFrame:
+    """``docs`` with topic, tokens, weight, keep_prob and sampled, under the names ``out`` (which replace columns of that name)."""
     w = weights(docs, targets, topic, temper, max_cells=max_cells)
-    d = with_cells(docs.drop("topic", "weight", "keep_prob", "sampled") if topic is None else docs, topic)
-    out = d.join(w, ["__source", "__lang", "__topic"], "left")
-    return out.withColumn("topic", F.col("__topic")).withColumn("sampled", draw(F.col("doc_id"), F.col("text"), seed) < F.col("keep_prob")).drop("__source", "__lang", "__topic", "cell_tokens")
+    made = unused(docs, 10, *out)
+    keys, tokens, own = made[:3], made[3], made[4:7]
+    cols = cell_columns(topic)
+    d = docs.withColumns(dict(zip([*keys, tokens], cols, strict=True)))
+    w = w.select(*[F.col(x).alias(k) for x, k in zip(DIMS, own, strict=True)], F.col("weight").alias(made[7]), F.col("keep_prob").alias(made[8]))
+    j = d.join(w, [d[k] == w[o] for k, o in zip(keys, own, strict=True)], "left")
+    sampled = draw(F.col("doc_id"), F.col("text"), seed) < F.col(made[8])
+    new = [F.col(keys[2]), F.col(tokens), F.col(made[7]), F.col(made[8]), sampled]
+    return j.select(*[docs[c] for c in docs.columns if c not in out], *[c.alias(n) for c, n in zip(new, out, strict=True)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +174,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     parts = [
         f"""d as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
-  't' || (('0x' || substr(md5(lower(split_part(coalesce(text, ''), chr(10), 1))), 1, 6))::bigint % {TOPICS}) as topic,
-  (length(coalesce(text, '')) - length(translate(coalesce(text, ''), ' ' || chr(10), '')) + 1)::bigint as tokens,
-  ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 8))::bigint / 4294967296.0 as u from documents)""",
+  case when trim(t) = '' then 'none' when (n - length(translate(t, '{DIGITS}', ''))) * 10 >= n then 'numeric' when (n - length(translate(t, '{MARKS}', ''))) * 50 >= n then 'markup'
+    when lines >= 4 and n <= lines * 40 then 'list' when n < 400 then 'brief' else 'prose' end as topic,
+  (n - length(translate(t, ' ' || chr(10), '')) + 1)::bigint as tokens,
+  ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 8))::bigint / 4294967296.0 as u
+  from (select *, length(t) as n, length(t) - length(replace(t, chr(10), '')) + 1 as lines from (select *, coalesce(text, '') as t from documents)))""",
         "c0 as materialized (select source, lang, topic, sum(tokens)::double as n, 1.0::double as w from d group by all)",
     ]
     for x in DIMS:

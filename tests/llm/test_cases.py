@@ -412,9 +412,22 @@ def test_raking_meets_the_margins(spark):
     docs = spark.createDataFrame([(i, "w " * (c[3] - 1) + "w", c[1], c[0], c[2]) for i, c in enumerate(cells)], "doc_id long, text string, lang string, source string, topic string")
     from pyspark.sql import functions as F
 
-    near = mixing.weights(docs, topic=F.col("topic"), rounds=5).orderBy("__source", "__lang").collect()
-    far = mixing.weights(docs, topic=F.col("topic"), rounds=5, max_cells=1).orderBy("__source", "__lang").collect()
+    near = mixing.weights(docs, topic=F.col("topic"), rounds=5).orderBy("source", "lang").collect()
+    far = mixing.weights(docs, topic=F.col("topic"), rounds=5, max_cells=1).orderBy("source", "lang").collect()
     assert np.allclose([r["weight"] for r in near], [r["weight"] for r in far])
+    assert mixing.misfit(cells, goal, w) < 1e-8 < mixing.misfit(cells, goal, np.ones(4))
+
+
+def test_mixing_of_odd_rows(spark):
+    names = ["topic", "tokens", "weight", "keep_prob", "sampled", "n", "__x0"]
+    rows = [(1, None, None, None, *names), (1, None, None, None, *names), (2, "", "en", None, *names), (3, "a b\nc", "en", "s", *names), (None, "1 2 3", "fr", "s", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(docs, out=("o1", "o2", "o3", "o4", "o5")).collect()
+    assert len(got) == 5 and all(r[n] == n for r in got for n in names)
+    assert sorted((r["o1"], r["o2"]) for r in got) == [("brief", 3), ("none", 1), ("none", 1), ("none", 1), ("numeric", 3)]
+    assert max(r["o4"] for r in got) == 1 and all(r["o5"] for r in got if r["o4"] == 1) and len({r["o5"] for r in got if r["doc_id"] == 1}) == 1
+    assert mixing.mix(docs).columns[4:] == ["n", "__x0", "topic", "tokens", "weight", "keep_prob", "sampled"]
+    assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_license_inheritance(spark):
