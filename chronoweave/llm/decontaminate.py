@@ -7,9 +7,11 @@ document is scanned once; a document word inside any occurrence of a window is h
 Defined cases: null or empty texts have no words and hit nothing; an empty benchmark
 hits nothing; a null item_id still marks words but is neither counted nor listed;
 repeated item rows count once; repeated documents each get a row; other columns are
-ignored.  The benchmark travels to the executors only up to ``shard_chars``; a larger
-one is split into several automata, each scanning the documents once, whose word hits
-are united by document.
+ignored or passed on whatever their names (``names`` gives those of the outputs).  A
+benchmark of up to ``shard_chars`` characters is one automaton, scanned once.  An automaton
+takes about 450 bytes a character (0.5 million characters took 225 MB), so the default is
+450 MB in each Python worker; a larger benchmark is split into several, each scanning the
+documents once, whose word hits are united by text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import NORMAL, map_text, read
+from .textops import NORMAL, map_text, read, unused
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _built: dict = {}
@@ -93,11 +95,9 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
 SPANS = pa.list_(pa.list_(pa.int64()))
+NAMES = ("n_words", "n_hit", "n_items", "item_ids", "spans", "contaminated")
+TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), SPANS, pa.bool_())
 
 
 def _shards(benchmark: DataFrame, limit: int):
@@ -124,8 +124,8 @@ def _scanner(spark: SparkSession, items: list[tuple], n: int):
     return build
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, shard_chars: int = 8_000_000) -> DataFrame:
-    """``docs[keep]`` with n_words, n_hit, n_items, item_ids, spans (original offsets), contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, shard_chars: int = 1_000_000, names: tuple = NAMES) -> DataFrame:
+    """``docs[keep]`` with n_words, n_hit, n_items, item_ids, spans (original offsets), contaminated, under the names given."""
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
     shards = list_or_two(_shards(benchmark, shard_chars))
@@ -140,24 +140,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list
                 out.append((nw, sum(e - s for s, e in ranges), len(items), sorted(items), [list(x) for x in original_spans(t, ranges)], bool(ranges)))
             return list(zip(*out, strict=True))
 
-        return map_text(docs, run, {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "item_ids": pa.list_(pa.string()), "spans": SPANS, "contaminated": pa.bool_()}, keep)
+        return map_text(docs, run, dict(zip(names, TYPES, strict=True)), keep)
     # a large benchmark: every shard marks words of distinct texts, and the marks are united
-    fp = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("__a"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("__b")]
-    base = docs.select(*fp, F.coalesce("text", F.lit("")).alias("text"))
+    fa, fb, ranges, items, pack = unused(docs, 5, *names)
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    fp = [F.xxhash64(whole).alias(fa), F.xxhash64(whole, F.lit(1)).alias(fb)]
+    base = docs.select(*fp, whole.alias("text"))
     marks = None
-    for items in _shards(benchmark, shard_chars):
-        build = _scanner(spark, items, n)
+    for part in _shards(benchmark, shard_chars):
+        build = _scanner(spark, part, n)
 
         def run(texts, build=build):
             a = build()
             got = [scan(a, t.as_py()) for t in texts]
             return [[[list(r) for r in g[1]] for g in got], [sorted(g[2]) for g in got]]
 
-        one = map_text(base, run, {"ranges": SPANS, "items": pa.list_(pa.string())}, ["__a", "__b"]).where("size(ranges) > 0").dropDuplicates(["__a", "__b"])
+        one = map_text(base, run, {ranges: SPANS, items: pa.list_(pa.string())}, [fa, fb]).where(F.size(ranges) > 0).dropDuplicates([fa, fb])
         marks = one if marks is None else marks.unionByName(one)
-    marks = marks.groupBy("__a", "__b").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    joined = docs.select(*fp, *keep, "text").join(marks, ["__a", "__b"], "left")
-    packed = joined.withColumn("__p", F.to_json(F.struct("text", "ranges", "items")))
+    marks = marks.groupBy(fa, fb).agg(F.flatten(F.collect_list(ranges)).alias(ranges), F.array_distinct(F.flatten(F.collect_list(items))).alias(items))
+    joined = docs.withColumns({fa: F.xxhash64(whole), fb: F.xxhash64(whole, F.lit(1))}).join(marks, [fa, fb], "left")
+    packed = joined.withColumn(pack, F.to_json(F.struct(F.col("text").alias("text"), F.col(ranges).alias("ranges"), F.col(items).alias("items"))))
 
     def merge(rows):
         import json
@@ -175,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list
             out.append((max(0, _pad(t).count(" ") - 1), sum(e - s for s, e in ranges), len(ids), ids, [list(y) for y in original_spans(t, ranges)], bool(ranges)))
         return list(zip(*out, strict=True))
 
-    return map_text(packed, merge, {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "item_ids": pa.list_(pa.string()), "spans": SPANS, "contaminated": pa.bool_()}, keep, text="__p")
+    return map_text(packed, merge, dict(zip(names, TYPES, strict=True)), keep, text=pack)
 
 
 def list_or_two(shards) -> list:

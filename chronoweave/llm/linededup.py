@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import kept
-from .textops import read, unused
+from .textops import quoted, read, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRIM = " \t\n\x0b\x0c\r"
@@ -99,10 +99,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines",
     ls, doc, t, gone, keep = unused(docs, 5, *out)
     b = bitmaps.toDF(doc, t, gone, keep)
     d = docs.withColumn(ls, text_print(F.col("text")))
-    j = d.join(b, d["doc_id"].eqNullSafe(b[doc]) & (d[ls] == b[t]), "left").withColumn(ls, line_array(F.col("text")))
+    j = d.join(b, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(ls) == F.col(t)), "left").withColumn(ls, line_array(F.col("text")))
     whole = F.coalesce(F.col("text"), F.lit(""))
     made = [F.size(ls).cast("long").alias(n_lines), F.coalesce(gone, F.lit(0)).cast("long").alias(n_dropped), F.when(F.col(keep).isNull(), whole).otherwise(kept_text(F.col(ls), F.col(keep))).alias(text)]
-    return j.select(*[docs[c] for c in docs.columns if c not in out], *made)
+    return j.select(*[quoted(c) for c in docs.columns if c not in out], *made)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import kept
-from .textops import read, unused
+from .textops import quoted, read, unused
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, TEMPER, EXACT = 30, 0.7, 1e-13
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, targets: dict | None = None, topic=None, temper: float
     j = d.join(w, [d[k] == w[o] for k, o in zip(keys, own, strict=True)], "left")
     sampled = draw(F.col("doc_id"), F.col("text"), seed) < F.col(made[8])
     new = [F.col(keys[2]), F.col(tokens), F.col(made[7]), F.col(made[8]), sampled]
-    return j.select(*[docs[c] for c in docs.columns if c not in out], *[c.alias(n) for c, n in zip(new, out, strict=True)])
+    return j.select(*[quoted(c) for c in docs.columns if c not in out], *[c.alias(n) for c, n in zip(new, out, strict=True)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,13 @@ def segment_max(x: np.ndarray, off: np.ndarray, empty: float) -> np.ndarray:
     return out
 
 
+def quoted(name: str):
+    """The column of exactly this name, dots and backticks included."""
+    from pyspark.sql import functions as F
+
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def map_text(df, fn, columns: dict[str, pa.DataType], keep: list[str], text: str = "text"):
     """``df[keep]`` with new columns that ``fn(large string array) -> list of arrays`` makes from the text.
 
@@ -148,7 +155,7 @@ def map_text(df, fn, columns: dict[str, pa.DataType], keep: list[str], text: str
 
     ship(df.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in columns]
-    src = df.select(*[df[c] for c in keep], df[text].alias("__text"))
+    src = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], quoted(text).alias("text"))  # plain names, as the map quotes none
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, from_arrow_type(t)) for c, t in columns.items())])
 
     def run(batches):

@@ -451,8 +451,63 @@ def test_pipeline_stages(spark):
     assert seen == sorted(seen, reverse=True) and seen[1] == seen[2]
     assert ordermh.near_classes(docs).where("doc_id <> class_id").count() == 0
     assert decontaminate.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").count() == 0
-    final = cp.run(spark, sf)
-    assert 0 < final.count() <= seen[-1] and len(hashlib.md5(b"").hexdigest()) == 32
+    want = sorted(r[0] for r in mixing.mix(docs).where("sampled").select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in cp.run(spark, sf).collect()) == want
+
+
+CLASH = ["keep", "t", "t1", "doc", "score", "predicted", "n_dropped", "n_lines", "kept", "n_words", "item_ids", "contaminated", "topic", "tokens", "weight", "class_id", "w", "b", "__x0", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def mixed_docs(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, versions, and extra columns that clash."""
+    line = "one line of all documents"
+    own = [prose(900 + i, 60) for i in range(8)]
+    long = prose(77, 20_000)
+    texts = [(1, own[0] + "\n" + line), (2, own[0].upper() + "\n" + line), (3, None), (3, None), (4, ""), (5, own[1]), (5, own[1]), (5, own[2]), (None, own[3]), (None, own[3]), (6, long), (7, long + " end"), (8, BENCH + " " + own[4]), (9, "! ?")]
+    texts += [(20 + i, prose(500 + i, 40) + "\n" + line) for i in range(10)]
+    rows = [(i, t, None if (i or 0) % 3 else "en", None if (i or 0) % 2 else "s", len(t or ""), *CLASH) for i, t in texts]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+BENCH = " ".join(f"question{i}" for i in range(12))
+
+
+@pytest.fixture(scope="module")
+def side_tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("side"))
+    spark.createDataFrame([(1, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(at + "/labels.parquet")
+    spark.createDataFrame([(1, BENCH), (2, None), (3, "")], "item_id long, text string").write.parquet(at + "/benchmark.parquet")
+    return at
+
+
+def rows_of(df):
+    return sorted(([str(r["doc_id"]), r["text"] or str(r["text"])] for r in df.select("doc_id", "text").collect()))
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_odd_tables(spark, mixed_docs, side_tables, at):
+    import corpus_pipeline as cp
+
+    name, stage = cp.STAGES[at]
+    docs = mixed_docs
+    got = stage(spark, docs, side_tables)
+    assert all(tuple(r[c] for c in CLASH) == tuple(CLASH) for r in got.collect())
+    assert stage(spark, docs.limit(0), side_tables).count() == 0
+    before = rows_of(docs)
+    if name == "toxicity":  # one class only: nothing goes
+        assert rows_of(got) == before
+    if name == "line_dedup":
+        line = "\none line of all documents"
+        assert rows_of(got) == sorted([i, t.replace(line, "")] for i, t in before) and got.columns == docs.columns
+        assert got.where("text is not null and n_chars <> char_length(text)").count() == 0
+    if name == "near_dedup":
+        left = [r["doc_id"] for r in got.collect()]
+        assert sorted(str(i) for i in left) == sorted(["1", "3", "4", "5", "5", "None", "6", "8", "9", *[str(20 + i) for i in range(10)]])
+    if name == "decontamination":
+        assert rows_of(got) == [r for r in before if "question3" not in r[1]]
+    if name == "mixing":
+        assert got.columns == [*docs.columns, "mix_topic", "mix_tokens", "mix_weight", "keep_prob"]
 
 
 def test_passages_made_of_frequent_lines(spark):
