@@ -532,6 +532,8 @@ def test_whole_license_files(spark):
     mit, bsd = (at / "LICENSE-mustache.txt").read_text(), (at / "LICENSE-py4j.txt").read_text()
     apache = (pathlib.Path(licenses.__file__).parent / "licence_texts/Apache-2.0.txt").read_text().split("APPENDIX")[0]
     head = "".join(f"# {x}\n" for x in mit[mit.index("Permission") :].split("\n"))
+    texts = licenses.text_templates(spark)
+    assert len(texts) == 9 and min(sum(t.values()) for t in texts.values()) > 100
     files = [(1, "a/LICENSE", mit), (2, "a/x.py", "code"), (3, "b/LICENSE", bsd), (4, "c/LICENSE", apache), (5, "d/x.py", head + "\nimport os\n" + "x = call(y)\n" * 500), (6, "e/x.txt", "No license here. " + prose(5, 400)), (7, "c/y", None)]
     got = {r["key"]: (r["license"], r["via"]) for r in licenses.scan(spark.createDataFrame(files, "key long, path string, text string")).collect()}
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "own"), 4: ("Apache-2.0", "own"), 5: ("MIT", "own"), 6: (None, "none"), 7: ("Apache-2.0", "inherited")}
