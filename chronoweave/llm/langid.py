@@ -2,9 +2,13 @@
 
 Each word has a log-likelihood under every language: the sum of its hashed byte-trigram
 log-probabilities.  For every document expectation-maximisation estimates the language
-proportions over words; nested language sets are then compared by log-likelihood less
-half a logarithm of the number of words for each language (a BIC penalty), and the best
-set's proportions are returned.
+proportions over words; language sets are then compared by log-likelihood less half a
+logarithm of the number of words for each language (a BIC penalty), and the best set's
+proportions are returned; of equal values the smaller set wins.  By default the sets are
+nested: the n languages of largest proportion for every n, where sizes end for a text once
+the languages beyond hold no more than ``REST`` of it together, as a further one then gains
+less than its penalty on any but very long texts.  ``every`` compares all subsets instead
+(at most 12 languages); tests hold both against each other.
 
 The tables are learned from a bounded sample: about ``per_lang`` rows for each language,
 chosen by a hash of doc_id.  Their size is ``2**BITS`` numbers a language.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 from .textops import NORMAL, Words, crc_mod, large, map_text, read, segment_sum, slices
 
-BITS = 16
+BITS, REST = 16, 0.002
 LETTER = re.compile(r"[^\W\d_]")
 _NORMAL = np.frombuffer(NORMAL, np.uint8)
 _ASCII_LETTER = np.zeros(256, bool)
@@ -83,10 +87,10 @@ def learn(docs: DataFrame, rows=lambda doc_id: F.lit(True), per_lang: int = 1500
     return langs, np.log(n / n.sum(0)).astype(np.float32)
 
 
-def infer(table: np.ndarray, data: np.ndarray, off: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions under the selected language set, and the set, for each row of a slice."""
+def likelihoods(table: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each word under each language, less its largest, and the rows' ranges of words."""
     w = Words(data, off)
-    n_rows, n_lang = len(off) - 1, table.shape[1]
+    n_lang = table.shape[1]
     lp = table[buckets(data)]
     # the trigrams that end inside a word or at the byte after it
     ends = np.minimum(w.ends + 1, len(data))
@@ -95,38 +99,50 @@ def infer(table: np.ndarray, data: np.ndarray, off: np.ndarray, rounds: int = 10
     if len(cuts) and cuts[-1] >= len(data):
         lp = np.concatenate([lp, np.zeros((1, n_lang), np.float32)])
     ll = np.add.reduceat(lp, cuts, axis=0)[0::2] if len(cuts) else np.zeros((0, n_lang), np.float32)
-    n = np.diff(w.rows)
-    ll -= ll.max(axis=1, keepdims=True) if len(ll) else 0
-    pi = np.full((n_rows, n_lang), 1 / n_lang, np.float32)
-    pi, like = _em(np.exp(ll), w.rows, pi, rounds)
+    if len(ll):
+        ll -= ll.max(axis=1, keepdims=True)
+    return ll, w.rows
+
+
+def infer(table: np.ndarray, data: np.ndarray, off: np.ndarray, rounds: int = 10, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions under the selected language set, and the set, for each row of a slice."""
+    ll, words = likelihoods(table, data, off)
+    n_rows, n_lang = len(off) - 1, table.shape[1]
+    n = np.diff(words)
+    pi, like = _em(np.exp(ll), words, np.full((n_rows, n_lang), 1 / n_lang, np.float32), rounds)
+    full, keep = pi, np.ones((n_rows, n_lang), bool)
+    if n_lang == 1 or not n.any():
+        return pi, keep
+    rows_of = np.repeat(np.arange(n_rows), n)
+    penalty = 0.5 * np.log(np.maximum(n, 2))
+    best = like - n_lang * penalty
     order = np.argsort(-pi, axis=1, kind="stable")
-    keep = np.ones((n_rows, n_lang), bool)
-    open_rows = np.flatnonzero(n > 0)
-    if n_lang > 1 and len(open_rows):
-        rows_of = np.repeat(np.arange(n_rows), n)
-        best = like - 0.5 * n_lang * np.log(np.maximum(n, 2))
-        for size in range(1, min(n_lang, 4)):
-            mask = np.zeros((n_rows, n_lang), np.float32)
+    sets = [m for m in range((1 << n_lang) - 2, 0, -1)] if every else range(n_lang - 1, 0, -1)
+    for s in sorted(sets, key=int.bit_count, reverse=True) if every else sets:  # the largest first, so equal values leave the smaller set
+        if every:
+            mask = np.tile((s >> np.arange(n_lang) & 1).astype(np.float32), (n_rows, 1))
+            size = s.bit_count()
+            rest = np.arange(n_rows)
+        else:
+            size, mask = s, np.zeros((n_rows, n_lang), np.float32)
             np.put_along_axis(mask, order[:, :size], 1, axis=1)
-            if size == 1:
-                got, one = mask, segment_sum((ll * mask[rows_of]).sum(1, dtype=np.float64), w.rows)
-            else:
-                # only texts for which a second language weighs anything
-                rest = np.flatnonzero(1 - np.take_along_axis(pi, order[:, : size - 1], 1).sum(1) > 0.01)
-                if not len(rest):
-                    break
-                sel = np.isin(rows_of, rest)
-                sub = np.concatenate([[0], np.cumsum(n[rest])])
-                start = pi[rest] * mask[rest]
-                start /= np.maximum(start.sum(1, keepdims=True), 1e-9)
-                p, l2 = _em(np.exp(ll[sel]), sub, start, rounds // 2)
-                got, one = pi.copy(), np.full(n_rows, -np.inf)
-                got[rest], one[rest] = p, l2
-            value = one - 0.5 * size * np.log(np.maximum(n, 2))
-            better = value >= best
-            best = np.where(better, value, best)
-            pi = np.where(better[:, None], got, pi).astype(np.float32)
-            keep[better] = mask[better] > 0
+            rest = np.flatnonzero(1 - np.take_along_axis(full, order[:, : size - 1], 1).sum(1) > REST) if size > 1 else np.arange(n_rows)
+        if not len(rest):
+            continue
+        got, one = mask.copy(), np.full(n_rows, -np.inf)
+        if size == 1:
+            one = segment_sum((ll * mask[rows_of]).sum(1, dtype=np.float64), words)
+        else:
+            sel = np.isin(rows_of, rest)
+            sub = np.concatenate([[0], np.cumsum(n[rest])])
+            start = (full[rest] + 1e-3) * mask[rest]
+            start /= start.sum(1, keepdims=True)
+            got[rest], one[rest] = _em(np.exp(ll[sel]), sub, start, rounds)
+        value = one - size * penalty
+        better = value >= best
+        best = np.where(better, value, best)
+        pi = np.where(better[:, None], got, pi).astype(np.float32)
+        keep[better] = mask[better] > 0
     return pi, keep
 
 
