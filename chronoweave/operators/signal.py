@@ -5,10 +5,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..deploy import ship
+
 
 @lru_cache
 def smoother(width: int, degree: int = 2) -> np.ndarray:
@@ -48,17 +52,27 @@ def peaks(y: np.ndarray, prominence: float | None = None, distance: int | None =
                 near[i] = False
                 keep &= ~near
         at = at[keep]
-    if prominence is not None:
-        at = np.array([i for i in at if prominence_of(y, i) >= prominence], int)
+    if prominence is not None and len(at):
+        at = at[prominences(y)[at] >= prominence]
     return at
 
 
-def prominence_of(y: np.ndarray, i: int) -> float:
-    higher = np.flatnonzero(y > y[i])
-    k = np.searchsorted(higher, i)
-    lo = higher[k - 1] + 1 if k else 0
-    hi = higher[k] if k < len(higher) else len(y)
-    return float(y[i] - max(np.min(y[lo : i + 1]), np.min(y[i:hi])))
+def _base(y: list) -> list:
+    """For each value the least one back to the nearest strictly higher value; one pass with a falling stack."""
+    out, stack = [], []
+    for v in y:
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        stack.append((v, low))
+        out.append(low)
+    return out
+
+
+def prominences(y: np.ndarray) -> np.ndarray:
+    """How far each value stands above the higher of its two bases; linear in the length."""
+    values = np.asarray(y, float).tolist()
+    return np.asarray(values) - np.maximum(_base(values), _base(values[::-1])[::-1])
 
 
 def smooth_column(value: str, keys: list[str], order: list[str], width: int = 9, degree: int = 2) -> Column:
@@ -95,31 +109,30 @@ def smooth_full(df: DataFrame, value: str, keys: list[str], order: list[str], ou
     return d.withColumn(out, F.when(F.col("__n") < width, F.col(value)).otherwise(F.coalesce(end(True), end(False), "__s"))).drop("__i", "__n", "__s")
 
 
-def peaks_native(df: DataFrame, keys: list[str], pos: str, value: str, prominence: float) -> DataFrame:
-    """Peaks with at least ``prominence``, for whole tables: keys, pos, value, prominence.
+def peaks_of_series(df: DataFrame, keys: list[str], pos: str, value: str, prominence: float, distance: int | None = None) -> DataFrame:
+    """Peaks of every series with at least ``prominence``, for whole tables: keys, pos, value, prominence.
 
-    Equal runs collapse to one row by windows.  A peak's bases end at the nearest strictly
-    higher sample on each side; they come from one self-join on the keys.
+    One exchange by the keys, then the linear kernel in each series (a match period has some
+    70,000 samples); a plateau counts at the middle of its first and last position.
+    ``distance``, in samples, thins peaks from the highest before prominences count.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
-    runs = (
-        df.select(*keys, pos, value)
-        .withColumn("__new", F.when(F.col(value) == F.lag(value).over(w), 0).otherwise(1))
-        .withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "__run")
-        .agg(F.min(pos).alias("__a"), F.max(pos).alias("__z"), F.first(value).alias("v"))
-    )
-    r = Window.partitionBy(*keys).orderBy("__run")
-    tops = runs.withColumn("__l", F.lag("v").over(r)).withColumn("__r", F.lead("v").over(r)).where("v > __l and v > __r").select(*keys, "__run", F.expr("(__a + __z) div 2").alias(pos), "v")
-    o = runs.select(*keys, F.col("__run").alias("o_run"), F.col("v").alias("o_v"))
-    j = tops.join(o, keys)
-    j = j.groupBy(*keys, "__run", pos, "v").agg(
-        F.max(F.when((F.col("o_run") < F.col("__run")) & (F.col("o_v") > F.col("v")), F.col("o_run"))).alias("__hl"),
-        F.min(F.when((F.col("o_run") > F.col("__run")) & (F.col("o_v") > F.col("v")), F.col("o_run"))).alias("__hr"),
-    )
-    base = j.join(o, keys).where((F.col("o_run") > F.coalesce("__hl", F.lit(-1))) & (F.col("__hr").isNull() | (F.col("o_run") < F.col("__hr"))))
-    b = base.groupBy(*keys, pos, "v").agg(F.min(F.when(F.col("o_run") <= F.col("__run"), F.col("o_v"))).alias("bl"), F.min(F.when(F.col("o_run") >= F.col("__run"), F.col("o_v"))).alias("br"))
-    return b.withColumn("prominence", F.col("v") - F.greatest("bl", "br")).where(F.col("prominence") >= prominence).select(*keys, pos, F.col("v").alias(value), "prominence")
+    ship(df.sparkSession)
+    own = df.select(*keys, pos, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*[own.schema[c] for c in (*keys, pos, value)], T.StructField("prominence", T.DoubleType())])
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by(pos)
+        x, y = t[pos].to_numpy(), t[value].to_numpy()
+        start = np.concatenate([[0], np.flatnonzero(np.diff(y) != 0) + 1])
+        stop = np.concatenate([start[1:], [len(y)]]) - 1
+        level = y[start]
+        at = peaks(level) if distance is None else np.searchsorted(start, peaks(y, None, distance), "right") - 1
+        p = prominences(level)[at] if len(at) else np.zeros(0)
+        at, p = at[p >= prominence], p[p >= prominence]
+        cols = {k: pa.array([t[k][0].as_py()] * len(at), t.schema.field(k).type) for k in keys}
+        return pa.table(cols | {pos: pa.array((x[start[at]] + x[stop[at]]) // 2, t.schema.field(pos).type), value: pa.array(level[at], pa.float64()), "prominence": pa.array(p, pa.float64())})
+
+    return own.groupBy(*keys).applyInArrow(kernel, schema)
 
 
 def kinematics(tracking: DataFrame, keys: list[str], frame: str = "frame_id", fps: float = 25) -> DataFrame:

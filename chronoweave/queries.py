@@ -204,13 +204,13 @@ select user_id, pos as frame_id, {sign} * v as value, round(v - greatest(bl, br)
 
 @query(_PEAK_SQL.replace("{sign}", "1"))
 def peaks_prominence(spark, d):
-    p = sig.peaks_native(frames(spark, d).select("user_id", "frame_id", "value"), ["user_id"], "frame_id", "value", 10)
+    p = sig.peaks_of_series(frames(spark, d).select("user_id", "frame_id", "value"), ["user_id"], "frame_id", "value", 10)
     return p.withColumn("prominence", F.round("prominence", 6))
 
 
 @query(_PEAK_SQL.replace("{sign}", "-1"))
 def valleys(spark, d):
-    p = sig.peaks_native(frames(spark, d).select("user_id", "frame_id", (-F.col("value")).alias("value")), ["user_id"], "frame_id", "value", 10)
+    p = sig.peaks_of_series(frames(spark, d).select("user_id", "frame_id", (-F.col("value")).alias("value")), ["user_id"], "frame_id", "value", 10)
     return p.withColumn("prominence", F.round("prominence", 6)).withColumn("value", -F.col("value"))
 
 

@@ -37,16 +37,18 @@ def test_prominence_by_definition(values):
             if y[j] > y[i]:
                 break
             hi = min(hi, y[j])
-        assert sig.prominence_of(y, i) == y[i] - max(lo, hi)
+        assert sig.prominences(y)[i] == y[i] - max(lo, hi)
 
 
 def test_native_peaks_and_smoothing_match_kernels(spark):
     rng = np.random.default_rng(0)
     data = [(k, i, float(v)) for k in (1, 2) for i, v in enumerate(rng.integers(0, 12, 60))]
     df = spark.createDataFrame(data, "k int, p long, v double")
-    got = {(r["k"], r["p"]) for r in sig.peaks_native(df, ["k"], "p", "v", 3).collect()}
+    got = {(r["k"], r["p"]) for r in sig.peaks_of_series(df, ["k"], "p", "v", 3).collect()}
+    far = {(r["k"], r["p"]) for r in sig.peaks_of_series(df, ["k"], "p", "v", 2, distance=5).collect()}
     full = {(r["k"], r["p"]): r["s"] for r in sig.smooth_full(df, "v", ["k"], ["p"], "s", 9).collect()}
     for k in (1, 2):
         y = np.array([v for kk, _, v in data if kk == k])
         assert {p for kk, p in got if kk == k} == set(sig.peaks(y, 3).tolist())
+        assert {p for kk, p in far if kk == k} == set(sig.peaks(y, 2, 5).tolist())
         assert np.allclose([full[k, i] for i in range(60)], sig.smooth(y, 9))
