@@ -38,3 +38,19 @@ def clock_to_frame(text: Column, fps: int = 25) -> Column:
 def shift(ts: Column, us: Column) -> Column:
     """A timestamp moved by microseconds."""
     return F.timestamp_add("MICROSECOND", us, ts)
+
+
+def utc_of_frame(frame: Column, start: Column, fps: int = 25) -> Column:
+    """The time of a frame counted from ``start``; null frames stay null."""
+    return shift(start, F.rint(frame * (1_000_000 / fps)).cast("long"))
+
+
+def display_clock(seconds: Column) -> Column:
+    """'MM:SS.ss' as shown on a frame, from rounded hundredths; the same as ``format_clock`` for whole hundredths."""
+    return format_clock(F.rint(seconds * 100) / 100)
+
+
+def utc_from_zoned(text: Column) -> Column:
+    """timestamp_ntz in UTC of an ISO time with its zone ('...+02:00' or '...Z'), whatever the session's time zone."""
+    micros_ = F.unix_micros(F.to_timestamp(text))
+    return F.timestamp_add("MICROSECOND", micros_, F.lit("1970-01-01").cast("timestamp_ntz"))

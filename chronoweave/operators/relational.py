@@ -74,3 +74,33 @@ def accuracy(df: DataFrame, diff: str, group: str, ks=(0, 5, 25, 50)) -> DataFra
     )
     rates = [(F.round(F.try_divide(F.col(c), F.col("total")), 6)).alias(f"{c}_rate") for c in ["exact", *[f"within_{k}" for k in ks if k], "valid"]]
     return out.select(F.coalesce(group, F.lit("total")).alias("category"), "total", "mean_diff", "exact", *[f"within_{k}" for k in ks if k], "valid", *rates)
+
+
+def valid_range(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """keys, column, first, last: where each column begins and ceases to be known; columns that never are have no row."""
+    at = [F.struct(F.lit(c).alias("column"), F.min(F.when(F.col(c).isNotNull(), F.col(order))).alias("first"), F.max(F.when(F.col(c).isNotNull(), F.col(order))).alias("last")) for c in columns]
+    return df.groupBy(*keys).agg(*[a.alias(f"__{i}") for i, a in enumerate(at)]).select(*keys, F.inline(F.array(*[F.col(f"__{i}") for i in range(len(columns))]))).where("first is not null")
+
+
+def first_valid(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """keys, column, value: the first known value of each column (as text)."""
+    at = [F.struct(F.lit(c).alias("column"), F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order))).alias("value")) for c in columns]
+    return df.groupBy(*keys).agg(*[a.alias(f"__{i}") for i, a in enumerate(at)]).select(*keys, F.inline(F.array(*[F.col(f"__{i}") for i in range(len(columns))]))).where("value is not null")
+
+
+def by_appearance(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "place") -> DataFrame:
+    """keys, value, place: distinct values numbered from 0 in the order in which they first appear."""
+    first = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("__at"))
+    return first.select(*keys, value, (F.row_number().over(Window.partitionBy(*keys).orderBy("__at")) - 1).cast("long").alias(out))
+
+
+def padded_lines(df: DataFrame, columns: list[str], out: str = "line") -> DataFrame:
+    """One text a row: the columns padded to their longest value, joined by ' | '; nulls are blank."""
+    texts = df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
+    widths = texts.agg(*[F.coalesce(F.max(F.length(f"__{c}")), F.lit(0)).alias(c) for c in columns]).first()  # one row
+    return texts.withColumn(out, F.concat_ws(" | ", *[F.rpad(f"__{c}", widths[c], " ") for c in columns])).drop(*[f"__{c}" for c in columns])
+
+
+def segments(df: DataFrame, frame: str, start: int, size: int, out: str = "segment") -> DataFrame:
+    """Rows from ``start`` on with the number of their chunk of ``size`` frames."""
+    return df.where(F.col(frame) >= start).withColumn(out, F.floor((F.col(frame) - start) / size))

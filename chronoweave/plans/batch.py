@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..contracts import EVENTS, TRACKING, Contract
 from ..sources.files import drop_output, trim_tail, write_synced
+from ..sources.provider import Provider
 from ..storage import kept
 from .detectors import COMPAT_TACKLE, DETECTORS, explain, kind_of
-from .synchronise import FEATURES, PACKED, _arrays, features, frame_dimension, synchronise, window_bounds, with_neighbours
+from .synchronise import FEATURES, PACKED, RECEIVE, _arrays, features, frame_dimension, located_features, receive_cases, receive_features, synchronise, window_bounds, with_neighbours
 
 
 def match_status(df: DataFrame, contract: Contract) -> DataFrame:
@@ -36,6 +39,11 @@ def run(events: DataFrame, tracking: DataFrame, out: str, fps: int = 25, limit:
     return seen.join(done, "match_id", "left").select("match_id", status.alias("status"), F.col("unsynced"))
 
 
+def run_provider(provider: Provider, out: str, fps: int = 25, limit: int = 50, post_sync_types: list[str] | None = None) -> DataFrame:
+    """From a provider's tables to written matches: ``run`` on its events and tracking, each read once."""
+    return run(kept(provider.events()), kept(provider.tracking()), out, fps, limit, post_sync_types)
+
+
 def explain_event(events: DataFrame, tracking: DataFrame, match_id: str, event_idx: int, fps: int = 25, compat: bool = False) -> DataFrame:
     """frame, features, candidate, score and best of one event, as the detector sees its whole window."""
     spark = events.sparkSession
@@ -53,3 +61,28 @@ def explain_event(events: DataFrame, tracking: DataFrame, match_id: str, event_i
     score = {} if got is None else dict(zip(got["frame"].tolist(), got["score"].tolist(), strict=True))
     top = max(score, key=lambda x: (score[x], -x)) if score else None
     return spark.createDataFrame([(*[float(f[c][i]) for c in FEATURES], x in score, score.get(x), x == top) for i, x in enumerate(f["frame"].tolist())], schema)
+
+
+def explain_receive(synced: DataFrame, tracking: DataFrame, match_id: str, event_idx: int, fps: int = 25) -> DataFrame:
+    """frame, features, closest_id, candidate, score and best of the search for one synced pass's receive; no rows where its case decides."""
+    spark = synced.sparkSession
+    e, t = synced.where(F.col("match_id") == match_id), tracking.where(F.col("match_id") == match_id)
+    case = receive_cases(e, frame_dimension(t), fps).where((F.col("event_idx") == event_idx) & (F.col("case") == 0))
+    got = receive_features(case, t, fps).toPandas()  # one event
+    schema = ", ".join(f"{c} double" for c in RECEIVE) + ", closest_id string, candidate boolean, score double, best boolean"
+    row = next(got.itertuples(index=False), None)
+    if row is None:
+        return spark.createDataFrame([], schema)
+    f = {c: np.asarray(getattr(row, c), float) for c in RECEIVE}
+    found = explain(DETECTORS["receive"], f, fps)
+    score = {} if found is None else dict(zip(found["frame"].tolist(), found["score"].tolist(), strict=True))
+    top = max(score, key=lambda x: (score[x], -x)) if score else None
+    return spark.createDataFrame([(*[float(f[c][i]) for c in RECEIVE], row.closest_id[i], x in score, score.get(x), x == top) for i, x in enumerate(f["frame"].tolist())], schema)
+
+
+def explain_located(events: DataFrame, tracking: DataFrame, match_id: str, event_idx: int, fps: int = 25) -> DataFrame:
+    """frame, features, candidate, score and best of one event in the located baseline, over its whole window."""
+    e, t = events.where((F.col("match_id") == match_id) & (F.col("event_idx") == event_idx)), tracking.where(F.col("match_id") == match_id)
+    j = located_features(with_neighbours(e), t, frame_dimension(t), fps)
+    w = Window.partitionBy("event_idx").orderBy(F.desc("candidate"), F.desc("score"), "frame")
+    return j.withColumn("best", F.col("candidate") & (F.row_number().over(w) == 1)).drop("match_id", "period_id", "us")

@@ -41,7 +41,7 @@ def with_neighbours(events: DataFrame) -> DataFrame:
 
 
 def kickoffs(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int = 25) -> DataFrame:
-    """match_id, period_id, event_idx, kick_frame, offset: the frame of each period's first event, and the clock offset (0 where none is found)."""
+    """match_id, period_id, event_idx, kick_frame, offset, ok: the frame of each period's first event, the clock offset and whether it was found (else the first frame and 0)."""
     x0, y0 = vocab.PITCH_X / 2, vocab.PITCH_Y / 2
     first = tmp.top1(events, KEYS, "event_idx").select(*KEYS, "event_idx", "player_id", "us", "spadl_type")
     start = frames.groupBy(*KEYS).agg(F.min("frame_id").alias("f0"))
@@ -61,7 +61,7 @@ def kickoffs(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int
     ok = F.col("found").isNotNull() & (F.coalesce("crowd", F.lit(0)) <= 1) & (F.col("spadl_type") == "pass")
     k = k.select(*KEYS, "event_idx", "us", F.when(ok, F.col("found")).otherwise(F.col("f0")).alias("kick_frame"), ok.alias("ok"))
     k = k.join(frames.select(*KEYS, F.col("frame_id").alias("kick_frame"), F.col("us").alias("fus")), [*KEYS, "kick_frame"])
-    return k.select(*KEYS, "event_idx", "kick_frame", F.when(F.col("ok"), F.col("us") - F.col("fus")).otherwise(F.lit(0).cast("long")).alias("offset"))
+    return k.select(*KEYS, "event_idx", "kick_frame", F.when(F.col("ok"), F.col("us") - F.col("fus")).otherwise(F.lit(0).cast("long")).alias("offset"), "ok")
 
 
 def window_bounds(events: DataFrame, frames: DataFrame, fps: int = 25) -> DataFrame:
@@ -149,9 +149,11 @@ def major_fold(events: DataFrame, kick: DataFrame, fps: int, compat: bool) -> Da
     return e.select(*KEYS, "event_idx", "spadl_type", "major", "kick_idx", "kick_frame", *[f"f_{c}" for c in PACKED]).groupBy(*KEYS).applyInPandas(fold, "match_id string, event_idx long, frame_id long")
 
 
-def receives(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int = 25, seconds: int = 10) -> DataFrame:
-    """match_id, event_idx, receiver_id, receive_frame_id of each synced pass; passes are independent of each other."""
-    ship(events.sparkSession)
+RECEIVE = ["frame", "next_player_dist", "closest_dist", "ball_height", "ball_accel"]
+
+
+def receive_cases(events: DataFrame, frames: DataFrame, fps: int = 25, seconds: int = 10) -> DataFrame:
+    """Synced passes with max_frame, ep_last, next_frame and case: 1 no next event, 2 out, 3 goal, 4 taken by the next event, 5 no frame left, 0 to be searched."""
     w = Window.partitionBy("match_id").orderBy("event_idx").rowsBetween(1, Window.unboundedFollowing)
     ep = Window.partitionBy("match_id", "episode_id")
     dim = frames.withColumn("ep_last", F.max("frame_id").over(ep)).select("match_id", "frame_id", "episode_id", "ep_last")
@@ -162,10 +164,20 @@ def receives(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int
     same = (F.col("next_ep") == F.col("episode_id")) & F.col("next_type").isin([*vocab.INCOMING, "shot_block", "keeper_punch"])
     case = F.when(F.col("next_type").isNull(), 1).when(F.col("next_type").isin(vocab.SET_PIECE_OOP), 2).when(shot & F.col("success"), 3).when(same, 4).when(F.col("frame_id") == F.col("max_frame"), 5).otherwise(0)
     e = e.withColumn("case", case).select("match_id", "period_id", "event_idx", "spadl_type", "success", "player_id", "next_player_id", "next_type", "next_frame", "frame_id", "max_frame", "ep_last", "case")
-    quick = e.where("case > 0").select(
+    return e
+
+
+def quick_receives(cases: DataFrame) -> DataFrame:
+    """match_id, event_idx, receiver_id, receive_frame_id of the passes whose case decides."""
+    return cases.where("case > 0").select(
         "match_id", "event_idx", F.when(F.col("case") == 2, F.lit("out")).when(F.col("case") == 3, F.lit("goal")).when(F.col("case") > 3, F.col("next_player_id")).alias("receiver_id"),
         F.when(F.col("case") <= 3, F.col("ep_last")).when(F.col("case") == 4, F.col("next_frame")).otherwise(F.col("max_frame")).alias("receive_frame_id"),
     )
+
+
+def receive_features(cases: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
+    """match_id, event_idx and one array for each of ``RECEIVE``, and closest_id, of the passes to be searched."""
+    e = cases
     t = tracking.select("match_id", "period_id", F.col("frame_id").alias("frame"), F.col("player_id").alias("obj"), "ball", "x", "y", "z", "accel_v")
     s = tmp.range_join(e.where("case = 0"), t, KEYS, "frame_id", "max_frame", "frame", width=10 * fps)
     by = ["match_id", "event_idx", "frame"]
@@ -180,22 +192,28 @@ def receives(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int
     order = F.struct("dist", F.when(F.col("obj").startswith("home"), 0).otherwise(1), "obj")
     per = d.groupBy(*by).agg(F.min(nxt).alias("next_player_dist"), F.min(F.when(cand, F.col("dist"))).alias("closest_dist"), F.min_by(F.when(cand, F.col("obj")), F.when(cand, order)).alias("closest_id"), F.first("ball_height").alias("ball_height"), F.first("ball_accel").alias("ball_accel"))
     per = per.where("next_player_dist is not null and closest_dist is not null")
-    names = ["frame", "next_player_dist", "closest_dist", "ball_height", "ball_accel"]
-    arr = per.groupBy("match_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct(*names, "closest_id"))).alias("rows"))
-    arr = arr.select("match_id", "event_idx", *[F.col(f"rows.{c}").cast("array<double>").alias(c) for c in names], F.col("rows.closest_id").alias("closest_id"))
+    arr = per.groupBy("match_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct(*RECEIVE, "closest_id"))).alias("rows"))
+    return arr.select("match_id", "event_idx", *[F.col(f"rows.{c}").cast("array<double>").alias(c) for c in RECEIVE], F.col("rows.closest_id").alias("closest_id"))
+
+
+def receives(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int = 25, seconds: int = 10) -> DataFrame:
+    """match_id, event_idx, receiver_id, receive_frame_id of each synced pass; passes are independent of each other."""
+    ship(events.sparkSession)
+    cases = receive_cases(events, frames, fps, seconds)
+    arr = receive_features(cases, tracking, fps)
 
     def pick(batches):
         for pdf in batches:
             who, when = [], []
             for r in pdf.itertuples(index=False):
-                f = {k: np.asarray(getattr(r, k), float) for k in names}
+                f = {k: np.asarray(getattr(r, k), float) for k in RECEIVE}
                 best = best_frame("receive", f, fps)
                 when.append(best)
                 who.append(None if best is None else r.closest_id[int(np.searchsorted(f["frame"], best))])
             yield pd.DataFrame({"match_id": pdf["match_id"], "event_idx": pdf["event_idx"], "receiver_id": who, "receive_frame_id": pd.array(when, dtype="Int64")})
 
     found = arr.mapInPandas(pick, "match_id string, event_idx long, receiver_id string, receive_frame_id long")
-    return quick.unionByName(found)
+    return quick_receives(cases).unionByName(found)
 
 
 def minor_fold(events: DataFrame, fps: int, post: list[str], compat: bool) -> DataFrame:
@@ -267,40 +285,59 @@ def synchronise(events: DataFrame, tracking: DataFrame, fps: int = 25, post_sync
     return out.withColumn("synced_ts", times.format_clock(F.col("__a"))).withColumn("receive_ts", times.format_clock(F.col("__b"))).drop("__a", "__b")
 
 
-def located(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
-    """The baseline that uses annotated positions: match_id, event_idx, frame_id.
+# fixed values: types, window seconds and gates (distance, height, least and largest acceleration) of the located baseline
+GATES = [([*vocab.PASS_LIKE_OPEN], 10, 2.5, 3.0, -1.0, None), (vocab.SET_PIECE, 15, 2.5, 3.0, -1.0, None), (vocab.INCOMING, 10, 2.0, 3.0, None, 1.0), (["bad_touch"], 5, 3.0, 3.0, None, None), (["foul", "tackle"], 5, 3.0, 4.0, None, None)]
+
+
+def located_features(events: DataFrame, tracking: DataFrame, frames: DataFrame, fps: int = 25, seconds: int | None = None, gate: int | None = None) -> DataFrame:
+    """Rows of events by frame with the three distances, candidate (whether the type's gates hold) and score; ``seconds`` and ``gate`` fix a window and a row of ``GATES``."""
+    from ..functions.scoring import score
 
-    Gates by type, a score of three distances, and the forward-only fold.
-    """
-    ship(events.sparkSession)
-    frames = frame_dimension(tracking)
-    e = with_neighbours(events)
-    kick = kickoffs(e, tracking, frames, fps)
-    e = e.join(F.broadcast(kick.select(*KEYS, "offset")), KEYS, "left").withColumn("us", F.col("us") - F.coalesce("offset", F.lit(0)))
     t = F.col("spadl_type")
-    # fixed values: window seconds and gates (distance, height, least and largest acceleration) by type
-    groups = [([*vocab.PASS_LIKE_OPEN], 10, 2.5, 3.0, -1.0, None), (vocab.SET_PIECE, 15, 2.5, 3.0, -1.0, None), (vocab.INCOMING, 10, 2.0, 3.0, None, 1.0), (["bad_touch"], 5, 3.0, 3.0, None, None), (["foul", "tackle"], 5, 3.0, 4.0, None, None)]
 
     def case(i):
         c = None
-        for g in groups:
-            v = F.lit(g[i]).cast("double")
+        for g in GATES:
+            v = F.lit((g if gate is None else GATES[gate])[i]).cast("double")
             c = F.when(t.isin(g[0]), v) if c is None else c.when(t.isin(g[0]), v)
-        return c
+        return c if gate is None else F.lit(GATES[gate][i]).cast("double")
 
-    e = tmp.nearest(e.withColumn("s", case(1)).where("s is not null"), frames.select("match_id", "us", "frame_id"), ["match_id"], "us", "us")
+    e = tmp.nearest(events.withColumn("s", case(1) if seconds is None else F.lit(float(seconds))).where("s is not null"), frames.select("match_id", "us", "frame_id"), ["match_id"], "us", "us")
     e = e.withColumn("lo", (F.col("event_frame") - F.col("s") * fps + 1).cast("long")).withColumn("hi", (F.col("event_frame") + F.col("s") * fps - 1).cast("long"))
     e = e.withColumns({"g_d": case(2), "g_h": case(3), "g_lo": case(4), "g_hi": case(5)})
     p = tracking.where(~F.col("ball")).select(*KEYS, "player_id", F.col("frame_id").alias("frame"), F.col("x").alias("px"), F.col("y").alias("py"))
-    b = tracking.where("ball").select(*KEYS, F.col("frame_id").alias("frame"), F.col("x").alias("bx"), F.col("y").alias("by"), F.coalesce("z", F.lit(0.0)).alias("bz"), F.coalesce("accel_s", F.lit(0.0)).alias("ba"))
+    b = tracking.where("ball").select(*KEYS, F.col("frame_id").alias("frame"), F.col("x").alias("bx"), F.col("y").alias("by"), F.coalesce("z", F.lit(0.0)).alias("ball_height"), F.coalesce("accel_s", F.lit(0.0)).alias("ball_accel_s"))
     j = tmp.range_join(e, p, [*KEYS, "player_id"], "lo", "hi", "frame", 10 * fps).join(b, [*KEYS, "frame"])
     j = j.withColumn("player_ball_dist", distance(F.col("px"), F.col("py"), F.col("bx"), F.col("by")))
     j = j.withColumn("player_event_dist", distance(F.col("px"), F.col("py"), F.col("start_x"), F.col("start_y"))).withColumn("ball_event_dist", distance(F.col("bx"), F.col("by"), F.col("start_x"), F.col("start_y")))
-    j = j.where("player_ball_dist <= g_d and bz <= g_h and (g_lo is null or ba >= g_lo) and (g_hi is null or ba <= g_hi)")
-    from ..functions.scoring import score
+    j = j.withColumn("candidate", F.expr("player_ball_dist <= g_d and ball_height <= g_h and (g_lo is null or ball_accel_s >= g_lo) and (g_hi is null or ball_accel_s <= g_hi)"))
+    return j.withColumn("score", score("located")).select(*KEYS, "event_idx", "us", "frame", "ball_accel_s", "ball_height", "player_ball_dist", "player_event_dist", "ball_event_dist", "candidate", "score")
+
+
+def located_offsets(events: DataFrame, tracking: DataFrame, frames: DataFrame, kick: DataFrame, fps: int = 25) -> DataFrame:
+    """match_id, period_id, offset: of the kickoff, or, where none is found, of the period's second event by its best frame within five seconds; 0 without one."""
+    w = Window.partitionBy(*KEYS).orderBy("event_idx")
+    second = events.withColumn("__k", F.row_number().over(w)).where("__k = 2").drop("__k").join(kick.where(~F.col("ok")).select(*KEYS), KEYS, "left_semi")
+    best = tmp.top1(located_features(second, tracking, frames, fps, vocab.WINDOW_S["kickoff"], 0).where("candidate"), KEYS, F.desc("score"), "frame")
+    at = best.select(*KEYS, "us", F.col("frame").alias("frame_id")).join(frames.select(*KEYS, "frame_id", F.col("us").alias("fus")), [*KEYS, "frame_id"])
+    return kick.select(*KEYS, "offset").join(at.select(*KEYS, (F.col("us") - F.col("fus")).alias("__o")), KEYS, "left").select(*KEYS, F.coalesce("__o", "offset").alias("offset"))
+
+
+def located(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
+    """The baseline that uses annotated positions: match_id, event_idx, frame_id.
+
+    Gates by type, a score of three distances, and the forward-only fold.
+    """
     from .fold import forward_only
 
-    c = j.groupBy("match_id", "period_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("frame").alias("frame_id"), score("located").alias("fvalue")))).alias("cands"))
+    ship(events.sparkSession)
+    frames = kept(frame_dimension(tracking))
+    e = with_neighbours(events)
+    kick = kept(kickoffs(e, tracking, frames, fps))
+    off = located_offsets(e, tracking, frames, kick, fps)
+    e = e.join(F.broadcast(off), KEYS, "left").withColumn("us", F.col("us") - F.coalesce("offset", F.lit(0)))  # one row a period
+    j = located_features(e, tracking, frames, fps).where("candidate")
+    c = j.groupBy("match_id", "period_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("frame").alias("frame_id"), F.col("score").alias("fvalue")))).alias("cands"))
     c = c.withColumn("key", F.concat_ws("|", "match_id", "period_id"))
     first = kick.select(F.concat_ws("|", *KEYS).alias("key"), "event_idx", F.array(F.struct(F.col("kick_frame").alias("frame_id"), F.lit(0.0).alias("fvalue"))).alias("cands"))
     c = c.select("key", "event_idx", "cands").join(first.select("key", "event_idx"), ["key", "event_idx"], "left_anti").unionByName(first)

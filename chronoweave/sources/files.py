@@ -24,6 +24,15 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
+def file_of(spark: SparkSession, path: str, keyword: str, match_id: str) -> str:
+    """The first file, by path, whose name holds the keyword and the match id; an error if there is none."""
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    got = listing(spark, path).where(name.contains(keyword) & name.contains(match_id)).agg(F.min("path")).first()[0]
+    if got is None:
+        raise FileNotFoundError(f"no file of {path} holds {keyword!r} and {match_id!r}")
+    return got
+
+
 def accepted(synced: DataFrame, limit: int = 50) -> DataFrame:
     """match_id, unsynced, ok: a match is written when at most ``limit`` of its events lack a frame."""
     return synced.groupBy("match_id").agg(F.count_if(F.col("frame_id").isNull()).alias("unsynced")).withColumn("ok", F.col("unsynced") <= limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,13 +11,64 @@ from pyspark.sql.window import Window
 from .typing_rules import rules
 from .. import vocab
 from ..functions import times
-from ..operators.relational import single_valued, unpivot_objects
+from ..operators.relational import first_valid, single_valued, unpivot_objects
 from ..operators.signal import kinematics
 
-MATCH = "stats_match_id"
+# fixed values: the provider's columns of a match and of an event's time
+MATCH, TIME = "stats_perform_match_id", "time_stamp"
 SHOTS = ["shot", "shot_freekick", "shot_penalty"]
 
 
+def prepare(events: DataFrame, lineups: DataFrame, match: str = MATCH) -> DataFrame:
+    """Raw events with utc_timestamp and the players' positions; only matches on one date, and players of the lineup."""
+    e = events.withColumn("utc_timestamp", F.col(TIME).cast("timestamp_ntz")) if "utc_timestamp" not in events.columns else events
+    at = lineups.select(match, "player_id", "advanced_position").dropDuplicates([match, "player_id"])
+    return one_date(e, match).join(at, [match, "player_id"])
+
+
+def drop_failed_tackles(events: DataFrame) -> DataFrame:
+    return events.where(~((F.col("spadl_type") == "tackle") & ~F.coalesce("success", F.lit(False))))
+
+
+def object_ids(wide: DataFrame, match: str = MATCH) -> DataFrame:
+    """match, player_id, object_id from columns ``home_<n>_id`` and ``away_<n>_id``: the first known id of each; a player of two columns has the last."""
+    names = [c for c in wide.columns if re.fullmatch(r"(home|away)_[0-9]+_id", c)]
+    first = first_valid(wide.withColumn("__at", F.struct("period_id", "timestamp")), [match], "__at", names)
+    return first.groupBy(match, F.col("value").alias("player_id")).agg(F.max(F.struct(F.length("column"), F.regexp_replace("column", "_id$", "").alias("object_id")))["object_id"].alias("object_id"))
+
+
+def scale(wide: DataFrame) -> DataFrame:
+    """Timestamps in hundredths; the ball's height from centimetres to metres."""
+    return wide.withColumns({"timestamp": F.rint(F.col("timestamp") * 100) / 100, "ball_z": F.rint(F.col("ball_z").cast("double")) / 100})
+
+
+def refine_events(events: DataFrame, wide: DataFrame, match: str = MATCH) -> DataFrame:
+    """Typed events with seconds and object ids, turned to the tracking's orientation, without failed tackles and self-passes."""
+    e = drop_failed_tackles(events.where("player_id is not null and spadl_type is not null"))
+    e = event_seconds(e, match).join(object_ids(wide, match), [match, "player_id"], "left")
+    xs = [c for c in wide.columns if re.fullmatch(r"(home|away)_[0-9]+_x", c)]
+    t = wide.select(match, "period_id", *xs)
+    return drop_self_passes(orient(e, unpivot_objects(t, [match, "period_id"], "", ["x"]), match), match)
+
+
+def contract_events(refined: DataFrame, match: str = MATCH) -> DataFrame:
+    """Events of the synchroniser's contract, numbered in time; player_id is the object id."""
+    w = Window.partitionBy(match).orderBy("period_id", "utc_timestamp")
+    return refined.where("object_id is not null").select(
+        F.col(match).cast("string").alias("match_id"), (F.row_number().over(w) - 1).cast("long").alias("event_idx"), F.col("period_id").cast("long").alias("period_id"), "utc_timestamp",
+        F.col("object_id").alias("player_id"), "spadl_type", "success", "start_x", "start_y",
+    )
+
+
+def contract_tracking(wide: DataFrame, events: DataFrame, match: str = MATCH, fps: int = 25) -> DataFrame:
+    """Tracking of the synchroniser's contract from raw wide frames; ``events`` give each period's first time."""
+    t = scale(wide)
+    if "frame_id" not in t.columns or "utc_timestamp" not in t.columns:
+        t = tracking_clock(t, events, match, fps)
+    t = t.withColumnRenamed(match, "match_id") if match != "match_id" else t
+    return long_tracking(t.withColumn("match_id", F.col("match_id").cast("string")).withColumn("period_id", F.col("period_id").cast("long")), "match_id", fps)
+
+
 def one_date(events: DataFrame, match: str = MATCH) -> DataFrame:
     """Events of matches that lie on exactly one date."""
     e = events.withColumn("date", F.to_date("utc_timestamp"))

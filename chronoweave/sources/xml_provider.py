@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from .typing_rules import rules
 from ..deploy import ship
 from ..functions import times
+from ..operators.signal import kinematics
 
 # fixed values: position codes of the provider
 POSITIONS = {
@@ -59,14 +60,22 @@ EVENT_SCHEMA = (
 SET_PIECES = ["ThrowIn", "GoalKick", "CornerKick", "FreeKick", "Penalty"]
 
 
-def read_lineup(spark: SparkSession, path: str) -> DataFrame:
-    """team_id, home_away, player_id, uniform_number, player_name, starting, captain, position, object_id."""
-    t = spark.read.format("xml").option("rowTag", "Team").schema(LINEUP_SCHEMA).load(path)
+#: the match in a file's path: what follows the last '_' or '/' and ends before the suffix
+MATCH_OF = r"([^/_]+)\.[^./]*$"
+
+
+def match_column(pattern: str) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("match_id")
+
+
+def read_lineup(spark: SparkSession, path: str, match_of: str = MATCH_OF) -> DataFrame:
+    """match_id, team_id, home_away, player_id, uniform_number, player_name, starting, captain, position, object_id."""
+    t = spark.read.format("xml").option("rowTag", "Team").schema(LINEUP_SCHEMA).load(path).select("*", match_column(match_of))
     side = F.when(F.col("_Role") == "guest", "away").otherwise("home")
-    p = t.select(F.col("_TeamId").alias("team_id"), F.col("_TeamName").alias("team_name"), side.alias("home_away"), F.explode("Players.Player").alias("p"))
+    p = t.select("match_id", F.col("_TeamId").alias("team_id"), F.col("_TeamName").alias("team_name"), side.alias("home_away"), F.explode("Players.Player").alias("p"))
     codes = F.create_map(*[F.lit(x) for kv in POSITIONS.items() for x in kv])
     return p.select(
-        "team_id", "team_name", "home_away", F.col("p._PersonId").alias("player_id"), F.col("p._ShirtNumber").alias("uniform_number"), F.col("p._Shortname").alias("player_name"), (F.col("p._Starting") == "true").alias("starting"),
+        "match_id", "team_id", "team_name", "home_away", F.col("p._PersonId").alias("player_id"), F.col("p._ShirtNumber").alias("uniform_number"), F.col("p._Shortname").alias("player_name"), (F.col("p._Starting") == "true").alias("starting"),
         (F.col("p._TeamLeader") == "true").alias("captain"), F.try_element_at(codes, F.col("p._PlayingPosition")).alias("position"), F.concat_ws("_", "home_away", F.col("p._ShirtNumber").cast("string")).alias("object_id"),
     )
 
@@ -97,9 +106,9 @@ def _play(play: Column, shot: Column) -> Column:
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """One row an event with its provider type, players, places, result and period."""
-    e = spark.read.format("xml").option("rowTag", "Event").schema(EVENT_SCHEMA).load(path).where(F.col("Delete").isNull())
+def read_events(spark: SparkSession, path: str, match_of: str = MATCH_OF) -> DataFrame:
+    """One row an event with its match, provider type, players, places, result and period."""
+    e = spark.read.format("xml").option("rowTag", "Event").schema(EVENT_SCHEMA).load(path).select("*", match_column(match_of)).where(F.col("Delete").isNull())
     c = F.col
     none = F.lit(None).cast("string")
     fields = ["event_type", "team_id", "player_id", "receiver_player_id", "result", "success", "body_part_type"]
@@ -126,7 +135,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
         piece = F.when(c(tag).isNotNull(), tag) if piece is None else piece.when(c(tag).isNotNull(), tag)
     section = F.coalesce(c("KickOff._GameSection"), c("FinalWhistle._GameSection"))
     out = e.select(
-        c("_EventId").alias("event_id"), F.to_timestamp("_EventTime").cast("timestamp_ntz").alias("utc_timestamp"), F.when(section == "firstHalf", 1).when(section == "secondHalf", 2).alias("marker"), c("FinalWhistle").isNotNull().alias("whistle"),
+        "match_id", c("_EventId").alias("event_id"), times.utc_from_zoned(c("_EventTime")).alias("utc_timestamp"), F.when(section == "firstHalf", 1).when(section == "secondHalf", 2).alias("marker"), c("FinalWhistle").isNotNull().alias("whistle"),
         number(c("_X-Position"), c("_X-Source-Position")).alias("coordinates_x"), number(c("_Y-Position"), c("_Y-Source-Position")).alias("coordinates_y"), number(c("_End-X-Position")).alias("end_coordinates_x"), number(c("_End-Y-Position")).alias("end_coordinates_y"),
         piece.alias("set_piece_type"), case.alias("p"),
     )
@@ -134,12 +143,13 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assign_periods(events: DataFrame) -> DataFrame:
-    """period_id from the first kickoff marker to the last final whistle of each period."""
-    marks = events.where("marker is not null").groupBy("marker").agg(F.min(F.when(~F.col("whistle"), F.col("utc_timestamp"))).alias("__a"), F.max(F.when(F.col("whistle"), F.col("utc_timestamp"))).alias("__z"))
-    marks = marks.withColumnRenamed("marker", "period_id")  # two rows
-    on = (F.col("utc_timestamp") >= F.col("__a")) & (F.col("__z").isNull() | (F.col("utc_timestamp") <= F.col("__z")))
-    got = events.join(F.broadcast(marks), on, "left").drop("__a", "__z", "marker", "whistle")
-    return got.withColumn("period_id", F.col("period_id").cast("long"))
+    """period_id from the first kickoff marker to the last final whistle of each period of the match."""
+    at = lambda whistle: F.col("utc_timestamp") if whistle is None else F.when(F.col("whistle") == whistle, F.col("utc_timestamp"))
+    marks = events.where("marker is not null").groupBy("match_id", F.col("marker").alias("__p")).agg(F.min(at(False)).alias("__a"), F.max(at(True)).alias("__z"))  # two rows a match
+    marks = marks.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(F.col("__p").alias("p"), F.col("__a").alias("a"), F.col("__z").alias("z")))).alias("__marks"))
+    j = events.join(marks, "match_id", "left")
+    inside = F.filter("__marks", lambda m: (F.col("utc_timestamp") >= m["a"]) & (m["z"].isNull() | (F.col("utc_timestamp") <= m["z"])))
+    return j.withColumn("period_id", F.get(inside, F.lit(0))["p"].cast("long")).drop("__marks", "marker", "whistle")
 
 
 def static_types(event_type: Column, piece: Column) -> Column:
@@ -160,7 +170,7 @@ def other_action(rows: list[dict], i: int, spadl: list) -> dict[int, str]:
     who, team = me["player_id"], me["team_id"]
     at = lambda k: rows[k] if 0 <= k < len(rows) else None
     kind = lambda r: (r or {}).get("event_type") or ""
-    recent = next((k for k in range(i - 1, -1, -1) if "Duel" not in kind(rows[k])), None)
+    recent = me["recent"]
     r = at(recent) if recent is not None else None
     header = any(kind(x) == "AerialDuel" and x["player_id"] == who for x in (at(i - 1), at(i + 1)))
     lost = r is not None and not r["success"]
@@ -202,7 +212,11 @@ def type_events(events: DataFrame) -> DataFrame:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["utc_timestamp", "event_id"])
         rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        kinds = [r["spadl_type"] for r in rows]
+        kinds, last = [r["spadl_type"] for r in rows], None
+        for i, r in enumerate(rows):  # each row's last earlier row that is no duel
+            r["recent"] = last
+            if "Duel" not in (r["event_type"] or ""):
+                last = i
         for i, r in enumerate(rows):
             if r["event_type"] == "OtherBallAction":
                 for k, v in other_action(rows, i, kinds).items():
@@ -230,12 +244,40 @@ def orient(events: DataFrame, keepers: DataFrame, length: float = 105.0, width:
     return j.withColumns({"coordinates_x": flip("coordinates_x", length), "coordinates_y": flip("coordinates_y", width), "end_coordinates_x": flip("end_coordinates_x", length), "end_coordinates_y": flip("end_coordinates_y", width)}).drop("__turn")
 
 
-def read_tracking(spark: SparkSession, path: str, length: float = 105.0, width: float = 68.0, fps: int = 25) -> DataFrame:
-    """Long tracking rows from frame sets, centred metres moved to the corner: section, object_id, frame_id, x, y, z, ball_state, timestamp."""
+def read_tracking(spark: SparkSession, path: str, match_of: str = MATCH_OF, length: float = 105.0, width: float = 68.0, fps: int = 25) -> DataFrame:
+    """Rows of frame sets, centred metres moved to the corner: match_id, period_id, team_id, person_id, frame_id, x, y, z, ball_state, timestamp (seconds of the period)."""
     schema = "_GameSection string, _TeamId string, _PersonId string, Frame array<struct<_N:long,_X:double,_Y:double,_Z:double,_BallStatus:int,_T:string>>"
-    t = spark.read.format("xml").option("rowTag", "FrameSet").schema(schema).load(path)
-    f = t.select(F.col("_GameSection").alias("section"), F.col("_TeamId").alias("team_id"), F.col("_PersonId").alias("object_id"), F.explode("Frame").alias("f"))
-    return f.select(
-        "section", "team_id", "object_id", F.col("f._N").alias("frame_id"), (F.col("f._X") + length / 2).alias("x"), (F.col("f._Y") + width / 2).alias("y"), F.col("f._Z").alias("z"),
-        F.when(F.col("f._BallStatus") == 1, "alive").when(F.col("f._BallStatus") == 0, "dead").alias("ball_state"), times.seconds_of_frame(F.col("f._N") - F.min("f._N").over(Window.partitionBy("section")), fps).alias("timestamp"),
+    t = spark.read.format("xml").option("rowTag", "FrameSet").schema(schema).load(path).select("*", match_column(match_of))
+    period = F.when(F.col("_GameSection") == "firstHalf", 1).when(F.col("_GameSection") == "secondHalf", 2).cast("long")
+    f = t.select("match_id", period.alias("period_id"), F.col("_TeamId").alias("team_id"), F.col("_PersonId").alias("person_id"), F.explode("Frame").alias("f"))
+    f = f.select(
+        "match_id", "period_id", "team_id", "person_id", F.col("f._N").alias("frame_id"), (F.col("f._X") + length / 2).alias("x"), (F.col("f._Y") + width / 2).alias("y"), F.col("f._Z").alias("z"),
+        F.when(F.col("f._BallStatus") == 1, "alive").when(F.col("f._BallStatus") == 0, "dead").alias("ball_state"),
     )
+    start = f.groupBy("match_id", "period_id").agg(F.min("frame_id").alias("__n"))  # a grouped minimum, one row a period
+    return f.join(start, ["match_id", "period_id"]).withColumn("timestamp", times.seconds_of_frame(F.col("frame_id") - F.col("__n"), fps)).drop("__n")
+
+
+def named_objects(df: DataFrame, lineup: DataFrame, person: str, out: str) -> DataFrame:
+    """``out``: the object id (home_7) of a provider's person id."""
+    ids = lineup.select("match_id", F.col("player_id").alias("__p"), F.col("object_id").alias(out)).dropDuplicates(["match_id", "__p"])
+    return df.join(ids, (df["match_id"] == ids["match_id"]) & (df[person] == ids["__p"]), "left").drop(ids["match_id"], "__p")
+
+
+def contract_events(typed: DataFrame, lineup: DataFrame) -> DataFrame:
+    """Events of the synchroniser's contract, numbered in time; player_id is the object id."""
+    e = named_objects(typed, lineup, "player_id", "object_id").where("object_id is not null and period_id is not null")
+    w = Window.partitionBy("match_id").orderBy("period_id", "utc_timestamp", "event_id")
+    return e.select("match_id", (F.row_number().over(w) - 1).cast("long").alias("event_idx"), "period_id", "utc_timestamp", F.col("object_id").alias("player_id"), "spadl_type", "success", F.col("coordinates_x").alias("start_x"), F.col("coordinates_y").alias("start_y"))
+
+
+def contract_tracking(raw: DataFrame, lineup: DataFrame, events: DataFrame, fps: int = 25) -> DataFrame:
+    """Tracking of the synchroniser's contract: object ids, utc from each period's first event, derivatives by object and period, then live frames only."""
+    ball = F.col("person_id").isNull() | (F.upper("team_id") == "BALL")
+    state = raw.where(ball).groupBy("match_id", "period_id", "frame_id").agg(F.max("ball_state").alias("__s"))
+    t = named_objects(raw.withColumn("ball", ball), lineup, "person_id", "object_id").where("ball or object_id is not null").drop("ball_state")
+    t = kinematics(t.withColumn("__o", F.when(F.col("ball"), "ball").otherwise(F.col("object_id"))), ["match_id", "period_id", "__o"], "frame_id", fps)
+    start = events.where("period_id is not null").groupBy("match_id", "period_id").agg(F.min("utc_timestamp").alias("__t"))
+    t = t.join(state, ["match_id", "period_id", "frame_id"]).where("__s = 'alive'").join(start, ["match_id", "period_id"])
+    utc = times.shift(F.col("__t"), F.rint(F.col("timestamp") * 1e6).cast("long"))
+    return t.select("match_id", "frame_id", "period_id", "timestamp", utc.alias("utc_timestamp"), F.when(~F.col("ball"), F.col("object_id")).alias("player_id"), "ball", "x", "y", F.when(F.col("ball"), F.col("z")).alias("z"), "speed", "accel_s", "accel_v")

@@ -11,7 +11,7 @@ T = lambda s: T0 + dt.timedelta(seconds=s)
 
 
 def test_parquet_typing(spark):
-    cols = "stats_match_id string, period_id long, utc_timestamp timestamp_ntz, player_id string, action_type string, outcome boolean, cross boolean, penalty boolean, free_kick_type string, expected_goal double, advanced_position string, start_x double, start_y double"
+    cols = "stats_perform_match_id string, period_id long, utc_timestamp timestamp_ntz, player_id string, action_type string, outcome boolean, cross boolean, penalty boolean, free_kick_type string, expected_goal double, advanced_position string, start_x double, start_y double"
     rows = [
         ("a", 1, T(0), "p1", "pass", True, False, None, None, None, "mid", 50.0, 30.0),
         ("a", 1, T(1), "p2", "pass", True, True, False, None, None, "mid", 50.0, 30.0),
@@ -23,7 +23,7 @@ def test_parquet_typing(spark):
         ("a", 1, T(61), "p9", "keeper_sweeper", True, None, None, None, None, "goal_keeper", 5.0, 30.0),
         ("b", 1, T(0), "k", "offside_pass", True, None, None, None, None, "goal_keeper", 52.0, 34.0),
     ]
-    got = parquet_provider.type_events(spark.createDataFrame(rows, cols)).orderBy("stats_match_id", "utc_timestamp").collect()
+    got = parquet_provider.type_events(spark.createDataFrame(rows, cols)).orderBy("stats_perform_match_id", "utc_timestamp").collect()
     assert [r["spadl_type"] for r in got] == ["pass", "cross", "shot", "pass", "foul", "freekick_crossed", "keeper_save", "clearance", "pass"]
     assert [r["success"] for r in got][:3] == [True, True, True] and got[-1]["success"] is False and got[-1]["offside"]
 
@@ -41,7 +41,7 @@ def test_xml_provider(spark, tmp_path):
 <Event EventId="6" EventTime="2024-01-01T12:45:00.000+00:00"><FinalWhistle GameSection="firstHalf"/></Event>
 </R>"""
     (tmp_path / "events.xml").write_text(ev)
-    e = xml_provider.read_events(spark, str(tmp_path / "events.xml")).withColumn("match_id", F.lit("m"))
+    e = xml_provider.read_events(spark, str(tmp_path / "events.xml"))
     assert {r["event_id"]: r["period_id"] for r in e.collect()} == {"1": 1, "2": 1, "3": 1, "5": 1, "6": 1}
     got = {r["event_id"]: (r["spadl_type"], r["success"], r["coordinates_x"]) for r in xml_provider.type_events(e).collect()}
     assert got == {"1": ("pass", True, 52.5), "2": ("cross", False, None), "3": ("interception", True, None), "5": ("shot", True, None)}
