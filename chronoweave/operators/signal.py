@@ -135,6 +135,16 @@ def peaks_of_series(df: DataFrame, keys: list[str], pos: str, value: str, promin
     return own.groupBy(*keys).applyInArrow(kernel, schema)
 
 
+def relative_speed(value: str, w, fps: float = 25) -> Column:
+    """Change to the next value a second; the last value repeats the one before it.  w: the ordered window of a series."""
+    return F.coalesce(F.lead(value).over(w) - F.col(value), F.col(value) - F.lag(value).over(w)) * fps
+
+
+def relative_accel(speed: str, w, fps: float = 25) -> Column:
+    """Size of the change of speed a second, 0 for the first value."""
+    return F.coalesce(F.abs(F.col(speed) - F.lag(speed).over(w)), F.lit(0.0)) * fps
+
+
 def kinematics(tracking: DataFrame, keys: list[str], frame: str = "frame_id", fps: float = 25) -> DataFrame:
     """vx, vy, speed, accel_s, accel_v of each object by smoothed differences; first differences take the next one's value."""
     w = Window.partitionBy(*keys).orderBy(frame)

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 def queries() -> dict:
     from . import queries as q
+    from . import role_queries  # noqa: F401
 
     return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict:
     from . import queries as q
+    from . import role_queries  # noqa: F401
 
     return dict(q.ORACLES)

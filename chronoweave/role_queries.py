@@ -326,3 +326,306 @@ _WIDE = """, w as (select match_id, period_id, frame_id, timestamp, u, max(x) fi
 def object_ids(spark, d):
     """Provider ids of players to object ids, by the first known id of each tracking column."""
     return parquet_provider.object_ids(wide_tracking(spark, d), "match_id").select("match_id", "player_id", "object_id")
+
+
+@role(_WIDE + """, l as (select match_id, unnest([{'c': 'ball_x', 'a': min(frame_id) filter (where ball_x > 60), 'z': max(frame_id) filter (where ball_x > 60)}, {'c': 'home_1_x', 'a': min(frame_id) filter (where home_1_x < 40), 'z': max(frame_id) filter (where home_1_x < 40)},
+  {'c': 'away_2_x', 'a': min(frame_id) filter (where away_2_x > 1000), 'z': max(frame_id) filter (where away_2_x > 1000)}]) as r from w group by match_id) select match_id, r.c as "column", r.a as "first", r.z as "last" from l where r.a is not null""")
+def valid_ranges(spark, d):
+    """First and last frame at which each column is known; columns that never are have no row."""
+    w = wide_tracking(spark, d).withColumns({"ball_x": F.when(F.col("ball_x") > 60, F.col("ball_x")), "home_1_x": F.when(F.col("home_1_x") < 40, F.col("home_1_x")), "away_2_x": F.when(F.col("away_2_x") > 1000, F.col("away_2_x"))})
+    return rel.valid_range(w, ["match_id"], "frame_id", ["ball_x", "home_1_x", "away_2_x"])
+
+
+@query("""select user_id, u.c as "column", u.v as "value" from (select user_id, unnest([{'c': 'a', 'v': arg_min(event_type, (ts, event_id)) filter (where value > 90)}, {'c': 'b', 'v': arg_min(event_id, (ts, event_id)) filter (where event_type = 'error')::varchar}]) as u from events group by user_id) where u.v is not null""")
+def first_known(spark, d):
+    e = events(spark, d).withColumns({"a": F.when(F.col("value") > 90, F.col("event_type")), "b": F.when(F.col("event_type") == "error", F.col("event_id"))})
+    return rel.first_valid(e.withColumn("at", F.struct("ts", "event_id")), ["user_id"], "at", ["a", "b"])
+
+
+@query("select user_id, event_type, row_number() over (partition by user_id order by t, i) - 1 as place from (select user_id, event_type, min((ts, event_id))[1] as t, min((ts, event_id))[2] as i from events group by all)")
+def by_appearance(spark, d):
+    return rel.by_appearance(events(spark, d), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("select event_id, rpad(event_type, (select max(length(event_type))::int from events), ' ') || ' | ' || rpad(coalesce(p, ''), (select max(length(coalesce(p, '')))::int from events2), ' ') as line from events2".replace("select event_id", "with events2 as (select *, case when event_id % 3 <> 0 then event_id::varchar end as p from events) select event_id", 1))
+def padded_lines(spark, d):
+    e = events(spark, d).withColumn("p", F.when(F.col("event_id") % 3 != 0, F.col("event_id")))
+    return rel.padded_lines(e, ["event_type", "p"]).select("event_id", "line")
+
+
+@role(" select match_id, frame_id, (frame_id - 100) // 75 as segment from fr where frame_id >= 100")
+def frame_segments(spark, d):
+    return rel.segments(syn.frame_dimension(match_tracking(spark, d)), "frame_id", 100, 75).select("match_id", "frame_id", "segment")
+
+
+@query("with c as (select s_suppkey, s_nationkey as n_nationkey from supplier where s_suppkey % 3 = 0) select n_nationkey, n_name, s_suppkey from c right join nation using (n_nationkey)")
+def right_natural_join(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    return rel.natural_join(s, table(spark, d, "nation").select("n_nationkey", "n_name"), "right")
+
+
+@query("select event_id, value, null::varchar is null as dropped from events")
+def drop_null_columns(spark, d):
+    """A column that is null in every row goes; one that is null in some stays."""
+    e = events(spark, d).select("event_id", "value", F.lit(None).cast("string").alias("nothing"))
+    got = rel.drop_null_columns(e)
+    return got.withColumn("dropped", F.lit("nothing" not in got.columns))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select event_id, user_id, event_type, round(value, 6) as value from events")
+def csv_round_trip(spark, d):
+    """Events written as CSV and read with their schema."""
+    path = _folder(spark, "csv")
+    events(spark, d).select("event_id", "user_id", "event_type", "value").write.option("header", True).csv(path)
+    return files.read_csv(spark, path, "event_id long, user_id long, event_type string, value double", "*.csv").withColumn("value", F.round("value", 6))
+
+
+@query("select user_id::varchar as match_id, event_id from events where user_id in (1, 7, 13)")
+def partition_scan(spark, d):
+    """Three matches of a table laid out by match; only their folders are read."""
+    path = _folder(spark, "matches")
+    events(spark, d).select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("match_id"), "event_id").repartition("match_id").write.partitionBy("match_id").parquet(path)
+    return files.read_matches(spark, path, ["m1", "m7", "m13"]).select(F.expr("substring(match_id, 2)").alias("match_id"), "event_id")
+
+
+@query("""with c as (select user_id, count(*) filter (where event_type = 'error') as unsynced from events group by user_id), k as (select user_id from c where unsynced <= 12)
+select user_id::varchar as match_id, event_id from events join k using (user_id)""")
+def gated_sink(spark, d):
+    """Matches with few unmatched events are written; one that was written before and is not accepted now is gone."""
+    path = _folder(spark, "gated")
+    e = events(spark, d).select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("match_id"), "event_id", F.when(F.col("event_type") != "error", F.col("event_id")).alias("frame_id"))
+    files.write_synced(e, path, limit=1 << 30)
+    done = files.write_synced(e, path, limit=12)
+    files.drop_output(done.where("not ok"), path)
+    return spark.read.option("header", True).csv(path).select(F.expr("substring(match_id, 2)").alias("match_id"), F.col("event_id").cast("long").alias("event_id"))
+
+
+@query("""select event_id, frame, epoch_us(timestamp '2024-01-01 12:00:00') + frame * 40000 as us, printf('%02d:%02d.%02d', c // 6000, (c // 100) % 60, c % 100) as clock, (ts::date - date '1970-01-01')::bigint as day, epoch_us(ts) - 7200000000 as zoned
+from (select *, (event_id * 7919) % 600000 as c, round_even(((event_id * 7919) % 600000) / 100.0::double * 25, 0)::bigint as frame from events)""")
+def clocks(spark, d):
+    """Clock text to frame and back to times; dates; times with a zone."""
+    e = events(spark, d).withColumn("c", F.col("event_id") * 7919 % 600000 / F.lit(100.0))
+    frame = times.clock_to_frame(times.format_clock(F.col("c")))
+    start = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    zoned = times.utc_from_zoned(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00")))
+    return e.select("event_id", frame.alias("frame"), times.micros(times.utc_of_frame(frame, start)).alias("us"), times.display_clock(F.col("c")).alias("clock"), F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), times.micros(zoned).alias("zoned"))
+
+
+@query("select event_id, round_even(value * 100, 0) / 100 as timestamp, round_even(value * 100, 0) / 100 as ball_z, null as n from events".replace(", null as n", ""))
+def scaled_units(spark, d):
+    """Seconds in hundredths and centimetres to metres, halves to even."""
+    return parquet_provider.scale(events(spark, d).select("event_id", F.col("value").alias("timestamp"), (F.col("value") * 100).alias("ball_z")))
+
+
+@query("""with recursive f as (select user_id, row_number() over (partition by user_id order by ts, event_id) as i, value as v from events),
+d as (select *, lead(v) over w - v as s1, v - lag(v) over w as s0, count(*) over (partition by user_id) as n from f window w as (partition by user_id order by i))
+select user_id, i, round(25 * case when i < n then s1 else s0 end, 4) + 0.0 as rel_speed, round(25 * case when i = 1 then 0 else abs(25 * (case when i < n then s1 else s0 end - s0)) end, 3) + 0.0 as rel_accel from d where n > 1""")
+def relative_motion(spark, d):
+    """Speed of a distance to its next value (the last one carried) and the size of its change."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = events(spark, d).withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("user_id"))}).where("n > 1")
+    speed = sig.relative_speed("value", w, 25)
+    e = e.withColumn("s", speed)
+    return e.select("user_id", "i", (F.round("s", 4) + 0.0).alias("rel_speed"), (F.round(sig.relative_accel("s", w, 25), 3) + 0.0).alias("rel_accel"))
+
+
+_SYNC2 = _SYNCED + """, rc as (select e.match_id, e.event_idx, e.period_id, e.us, e.player_id, e.spadl_type, case when e.event_idx % 4 <> 3 then e.frame_id end as frame_id, case when e.event_idx % 3 = 0 then e.frame_id + 10 end as receive_frame_id, e.next_player_id as receiver_id, e.value, e.event_id from sy e)"""
+
+
+def report_rows(spark, d) -> DataFrame:
+    """Synced events some of which lack a frame, with receives ten frames on."""
+    _, _, e = synced_roles(spark, d)
+    return e.withColumn("f", F.col("frame_id")).withColumns({"frame_id": F.when(F.col("event_idx") % 4 != 3, F.col("f")), "receive_frame_id": F.when(F.col("event_idx") % 3 == 0, F.col("f") + 10), "receiver_id": F.col("next_player_id")}).drop("f")
+
+
+@role(_SYNC2 + """, x as (select *, lead(frame_id) over w as nf, lead(event_idx) over w is null as la from rc window w as (partition by match_id order by event_idx)),
+r as (select match_id, period_id, frame_id, player_id, spadl_type as event_type, event_idx::double as o from rc where frame_id is not null union all select match_id, period_id, receive_frame_id, receiver_id, 'receive', 1e18 from x where receive_frame_id is not null and (la or receive_frame_id < nf))
+select match_id, period_id, frame_id, player_id, event_type from r qualify row_number() over (partition by match_id, frame_id order by o, player_id nulls first) = 1""")
+def receive_rows(spark, d):
+    """Synced events with the receives that come before the next event, one row a frame."""
+    return report.with_receives(report_rows(spark, d))
+
+
+_CASES = " ".join(f"when spadl_type = '{t}' then '{c}'" for t, c in report.CATEGORY.items())
+_PASS_SQL = ", ".join(f"'{t}'" for t in syn.PASSES)
+
+
+def _accuracy_sql(by: str) -> str:
+    cols = "count(*) filter (where z = 0) as exact, count(*) filter (where abs(z) <= 5) as within_5, count(*) filter (where abs(z) <= 25) as within_25, count(*) filter (where abs(z) <= 50) as within_50, count(got) as valid"
+    one = f"{by} count(*) filter (where counts) as total, sum(abs(z)) as s, count(z) as n, {cols}"
+    group = f"group by {by.rstrip(' ,')}" if by else ""
+    rows = f"""select {by} 'event_start' as side, case {_CASES} end as cat, true as counts, frame_id - tf as z, frame_id as got from a union all select {by} 'event_end', 'event_end', spadl_type in ({_PASS_SQL}), receive_frame_id - tr_, receive_frame_id from a"""
+    return f""", q as ({rows}), s as (select cat as category, false as t, {one} from q where side = 'event_start' group by {by} cat union all select side, false, {one} from q group by {by} side union all select 'total', true, {one} from q {group})
+select {by} category, total, round(case when t then s / total else s / n end, 6) as mean_diff, exact, within_5, within_25, within_50, valid, round(exact / total, 6) as exact_rate, round(within_5 / total, 6) as within_5_rate, round(within_25 / total, 6) as within_25_rate, round(within_50 / total, 6) as within_50_rate, round(valid / total, 6) as valid_rate from s"""
+
+
+def truths(df: DataFrame) -> DataFrame:
+    shift = F.expr("event_id % 61 - 30")
+    return df.withColumns({"true_frame": F.col("frame_id") + F.when(F.col("event_id") % 5 != 0, shift).otherwise(0), "true_receive": F.col("receive_frame_id") + shift})
+
+
+_TRUTH = ", a as (select *, frame_id + case when event_id % 5 <> 0 then event_id % 61 - 30 else 0 end as tf, receive_frame_id + event_id % 61 - 30 as tr_{} from rc)"
+
+
+@role(_SYNC2 + _TRUTH.format("") + _accuracy_sql(""))
+def accuracy_of_sync(spark, d):
+    """The report by category, over all starts, all ends and in total."""
+    return report.accuracy_report(truths(report_rows(spark, d)))
+
+
+@role(_SYNC2 + ", m as (select *, 'a' as method from rc union all select * replace (frame_id + 3 as frame_id), 'b' from rc)" + _TRUTH.format("").replace("from rc", "from m").replace("frame_id + case", "case when method = 'b' then frame_id - 3 else frame_id end + case") + _accuracy_sql("method, "))
+def accuracy_by_method(spark, d):
+    """The report of two synchronisers, one three frames late."""
+    a = truths(report_rows(spark, d))
+    return report.accuracy_by_method({"a": a, "b": a.withColumn("frame_id", F.col("frame_id") + 3)})
+
+
+@role(_SYNC2 + _WIDE.replace("with ", "") + """, c as (select match_id, period_id, frame_id * 4 as t, player_id, spadl_type as event_type from rc where frame_id is not null),
+an as (select match_id, period_id, round_even(round_even((us - min(us) over (partition by match_id, period_id)) / 1e6 * 25, 0) / 25 * 100, 0)::bigint as t, value as annot_x, value * 0.5::double as annot_y from rc),
+m as (select w.match_id, w.frame_id, c.player_id, event_type, case when c.player_id is not null then ball_x end as event_x, case when c.player_id is not null then ball_y end as event_y, annot_x, annot_y
+  from w left join c on c.match_id = w.match_id and c.period_id = w.period_id and c.t = w.frame_id * 4 left join an on an.match_id = w.match_id and an.period_id = w.period_id and an.t = w.frame_id * 4)
+select match_id, frame_id, player_id, event_type, event_x, event_y, annot_x, annot_y from m""")
+def merge_synced(spark, d):
+    """Wide frames with synced events at the ball and annotated places at their own time."""
+    e = report_rows(spark, d).withColumns({"synced_ts": times.format_clock(F.col("frame_id") / 25), "start_x": F.col("value"), "start_y": F.col("value") * 0.5})
+    return report.merge_synced(e, wide_tracking(spark, d)).select("match_id", "frame_id", "player_id", "event_type", "event_x", "event_y", "annot_x", "annot_y")
+
+
+@role(_WIDE + """, s as (select *, row_number() over (partition by match_id order by frame_id) - 1 as i from w) select match_id, frame_id, (frame_id - 30) // 200 as segment, 105 - ball_x as ball_x, 68 - ball_y as ball_y,
+printf('%02d:%02d.%02d', (frame_id * 4) // 6000, ((frame_id * 4) // 100) % 60, (frame_id * 4) % 100) as clock from s where i % 5 = 0 and frame_id >= 30""")
+def frame_table(spark, d):
+    """Every fifth frame from the thirtieth on, with segment, clock and a turned pitch; a column that is never known goes."""
+    w = wide_tracking(spark, d).select("match_id", "frame_id", "timestamp", "ball_x", "ball_y", F.lit(None).cast("double").alias("none_x"))
+    return report.frame_table(w, step=5, start=30, segment=200, rotate=True).select("match_id", "frame_id", "segment", "ball_x", "ball_y", "clock")
+
+
+@role(""" select match_id, p as object, row_number() over (partition by match_id, p[1:4] order by p) as number from (select distinct match_id, player_id as p from tr where not ball)""")
+def player_numbers(spark, d):
+    o = match_tracking(spark, d).where(~F.col("ball")).select("match_id", F.col("player_id").alias("object")).distinct()
+    return report.player_numbers(o)
+
+
+@query("select n_name, case when n_regionkey = 1 then 'b' when n_nationkey < 10 then 'a' else 'c' end as g from nation")
+def map_union(spark, d):
+    """Two dictionaries united; the later one wins."""
+    n = table(spark, d, "nation")
+    a = F.create_map(*[F.lit(x) for k in range(25) for x in (k, "a" if k < 10 else "c")])
+    b = F.when(F.col("n_regionkey") == 1, F.create_map(F.col("n_nationkey"), F.lit("b"))).otherwise(F.create_map().cast("map<int,string>"))
+    both = F.map_concat(F.map_filter(a.cast("map<int,string>"), lambda k, _: ~F.map_contains_key(b, k)), b)
+    return n.select("n_name", F.element_at(both, F.col("n_nationkey")).alias("g"))
+
+
+@role(_SYNC2 + """, an as (select *, case when event_idx % 5 = 4 then 'missing' when event_idx % 7 = 3 then 'false_positive' end as et from rc where period_id = 1 and frame_id is not null and spadl_type <> 'shot_block'),
+k as (select *, case when coalesce(et <> 'missing', true) then row_number() over (partition by match_id, coalesce(et <> 'missing', true) order by event_idx) - 1 end as k from an),
+re as (select match_id, us, value, row_number() over (partition by match_id order by event_idx) - 1 as k from ev)
+select k.match_id, k.event_idx as "row", case when k.spadl_type = 'bad_touch' then 'bad_touch' else k.spadl_type end as spadl_type, k.frame_id as frame, case when k.k is null then k.frame_id * 40000 else re.us end as us, case when k.k is null then b.x else re.value end as start_x
+from k left join re on re.match_id = k.match_id and re.k = k.k left join tr b on b.match_id = k.match_id and b.frame_id = k.frame_id and b.ball""")
+def align_annotations(spark, d):
+    """Cleaned annotations with the recorded events' times and places by rank; missing ones at their frame and the ball."""
+    kind = F.when(F.col("spadl_type") == "shot_block", "shield_ball_oop").when(F.col("spadl_type") == "bad_touch", "ball_touch").otherwise(F.col("spadl_type"))
+    a = report_rows(spark, d).where("frame_id is not null").select(
+        "match_id", "period_id", F.col("event_idx").alias("row"), kind.alias("spadl_type"), F.when(F.col("event_idx") % 5 == 4, "missing").when(F.col("event_idx") % 7 == 3, "false_positive").alias("error_type"),
+        times.format_clock(F.col("frame_id") / 25).alias("synced_ts"), F.lit(None).cast("string").alias("receive_ts"),
+    )
+    e = match_events(spark, d).withColumns({"start_x": F.col("value"), "start_y": F.col("value") * 0.5})
+    ball = match_tracking(spark, d).where("ball")
+    got = report.align_annotations(report.clean_annotations(a), e, ball, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+    return got.select("match_id", "row", "spadl_type", "frame", since(times.micros(F.col("utc_timestamp"))).alias("us"), "start_x")
+
+
+@role(_WIDE + """ select match_id, r.o as object_id, frame_id, round(r.x, 6) as x, 'alive' as ball_state from (select match_id, frame_id, unnest([{'o': 'ball', 'x': ball_x}, {'o': 'home_1', 'x': home_1_x}]) as r from w where frame_id % 9 < 6)""")
+def live_frames(spark, d):
+    """Wide frames made long, with derivatives over all frames, and then only the live ones."""
+    w = wide_tracking(spark, d).select("match_id", "period_id", "frame_id", "timestamp", utc(F.col("frame_id") * 40000).alias("utc_timestamp"), F.when(F.col("frame_id") % 9 < 6, "alive").otherwise("dead").alias("ball_state"), "ball_x", "ball_y", "home_1_x", "home_1_y")
+    t = parquet_provider.long_tracking(w)
+    return t.select("match_id", F.coalesce("player_id", F.lit("ball")).alias("object_id"), "frame_id", F.round("x", 6).alias("x"), F.lit("alive").alias("ball_state"))
+
+
+#: XML of an event by kind; {p}, {t}, {r} stand for player, team and recipient
+_XML = [
+    '<Play Player="{p}" Team="{t}" Recipient="{r}" Evaluation="successfullyCompleted"><Pass/></Play>', '<Play Player="{p}" Team="{t}" Recipient="{r}" Evaluation="unsuccessful"><Cross/></Play>', '<ShotAtGoal Player="{p}" Team="{t}" TypeOfShot="head"><SavedShot GoalKeeper="{r}"/></ShotAtGoal>',
+    '<ShotAtGoal Player="{p}" Team="{t}" TypeOfShot="leg"><SuccessfulShot/></ShotAtGoal>', '<ThrowIn Team="{t}"><Play Player="{p}" Team="{t}" Recipient="{r}" Evaluation="successfullyCompleted"><Pass/></Play></ThrowIn>', '<CornerKick Team="{t}"><Play Player="{p}" Team="{t}" Recipient="{r}" Evaluation="unsuccessful"><Cross/></Play></CornerKick>',
+    '<OtherBallAction DefensiveClearance="true" Player="{p}" Team="{t}"/>', '<BallClaiming Type="InterceptedBall" Player="{p}" Team="{t}"/>', '<BallClaiming Type="BallClaimed" Player="{p}" Team="{t}"/>', '<Foul Fouler="{p}" TeamFouler="{t}" Fouled="{r}" FoulType="x"/>', '<TacklingGame Type="air" Winner="{p}" WinnerTeam="{t}" Loser="{r}"/>',
+    '<Penalty Team="{t}"><ShotAtGoal Player="{p}" Team="{t}"><ShotWide/></ShotAtGoal></Penalty>', '<Caution Player="{p}" Team="{t}" CardColor="yellow"/>', "<Delete/>",
+]
+
+
+def _write_xml(rows: DataFrame, path: str) -> None:
+    """A document for each m, of the elements in ``value``, in a folder of its own."""
+    whole = rows.groupBy("m").agg(F.concat(F.lit("<R>"), F.array_join(F.collect_list("value"), ""), F.lit("</R>")).alias("value"))
+    whole.repartition("m").write.partitionBy("m").text(path)
+
+
+def _xml_events(spark, d) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = events(spark, d).withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("user_id"))})
+    e = e.withColumns({"p": F.concat(F.lit("P"), F.expr("cast(event_id % 4 as string)")), "t": F.concat(F.lit("T"), F.expr("cast(event_id % 2 as string)")), "r": F.concat(F.lit("P"), F.expr("cast((event_id + 1) % 4 as string)"))})
+    kind = F.element_at(F.array(*[F.lit(x) for x in _XML]), F.expr(f"cast(event_id * 3 % {len(_XML)} as int) + 1"))
+    kind = F.when(F.col("i") == 1, '<KickOff GameSection="firstHalf"><Play Player="{p}" Team="{t}" Recipient="{r}" Evaluation="successfullyCompleted"><Pass/></Play></KickOff>').when(F.col("i") == F.col("n"), '<FinalWhistle GameSection="firstHalf"/>').otherwise(kind)
+    for k in "ptr":
+        kind = F.replace(kind, F.lit("{" + k + "}"), F.col(k))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+    x = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.format_string("%.2f", "value"))
+    line = F.concat(F.lit('<Event EventId="'), F.col("event_id").cast("string"), F.lit('" EventTime="'), time, F.lit('" X-Position="'), x, F.lit('" Y-Source-Position="'), F.format_string("%.2f", "value"), F.lit('">'), kind, F.lit("</Event>"))
+    path = _folder(spark, "xml")
+    _write_xml(e.select(F.col("user_id").alias("m"), line.alias("value")), path)
+    return xml_provider.read_events(spark, path, r"/m=([^/]+)/")
+
+
+_XML_SQL = f"""with e as (select *, row_number() over w as i, count(*) over (partition by user_id) as n, (event_id * 3) % {len(_XML)} as k, date_trunc('milliseconds', ts) as t from events window w as (partition by user_id order by ts, event_id)),
+r as (select user_id::varchar as match_id, event_id::varchar as event_id, t, i, case when i = 1 then 0 when i = n then 99 else k end as kind, 'P' || event_id % 4 as player_id, 'T' || event_id % 2 as team_id, 'P' || (event_id + 1) % 4 as rc, case when event_id % 5 <> 0 then round(value, 2) end as x, round(value, 2) as y from e where i = 1 or i = n or k <> 13),
+v as (select match_id, event_id, t, kind, i = 1 as kick, 1::bigint as period_id, case when kind in (0, 4) then 'Pass' when kind in (1, 5) then 'Cross' when kind in (2, 3, 11) then 'Shot' when kind = 6 then 'Clearance' when kind = 7 then 'Interception' when kind = 8 then 'Recovery' when kind = 9 then 'Foul' when kind = 10 then 'AerialDuel' when kind = 12 then 'Card' else 'FinalWhistle' end as event_type,
+  case when kind <> 99 then player_id end as player_id, case when kind <> 99 then team_id end as team_id, case when kind in (0, 1, 2, 4, 5, 9, 10) then rc end as receiver_player_id, case when i = 1 then 'KickOff' when kind = 4 then 'ThrowIn' when kind = 5 then 'CornerKick' when kind = 11 then 'Penalty' end as set_piece_type,
+  case when kind in (0, 3, 4, 10) then true when kind in (1, 2, 5, 11) then false end as success, x, y from r)"""
+
+
+@query(_XML_SQL + " select match_id, event_id, period_id, event_type, player_id, team_id, receiver_player_id, set_piece_type, success, x as coordinates_x, y as coordinates_y from v")
+def xml_events(spark, d):
+    """Events written as XML, a file a match, and read by the provider."""
+    return _xml_events(spark, d).select("match_id", "event_id", "period_id", "event_type", "player_id", "team_id", "receiver_player_id", "set_piece_type", "success", "coordinates_x", "coordinates_y")
+
+
+@query(_XML_SQL + """, s as (select *, case when kind = 0 then 'pass' when kind = 1 then 'cross' when kind in (2, 3) then 'shot' when kind = 4 then 'throw_in' when kind = 5 then 'corner_crossed' when kind = 6 then 'clearance' when kind = 7 then 'interception' when kind = 8 then 'ball_recovery' when kind = 9 then 'foul' when kind = 11 then 'shot_penalty' end as spadl_type from v)
+select event_id, spadl_type, case when kind in (7, 8) then true when kind = 9 then false when kind = 6 then coalesce(lead(team_id) over w = team_id, false) else coalesce(success, false) end as success from s where spadl_type is not null window w as (partition by match_id order by t, event_id)""")
+def xml_typing(spark, d):
+    """Types and success of events read from XML."""
+    return xml_provider.type_events(_xml_events(spark, d)).select("event_id", "spadl_type", "success")
+
+
+_CODES = ", ".join(f"('{k}', '{v}')" for k, v in xml_provider.POSITIONS.items())
+_CODE_SQL = "['" + "', '".join([*xml_provider.POSITIONS, "ZZ"]) + f"'][s_suppkey % {len(xml_provider.POSITIONS) + 1} + 1]"
+
+
+@query(f"""select n_name as team_name, case when n_nationkey % 2 = 1 then 'away' else 'home' end as home_away, 'S' || s_suppkey as player_id, s_suppkey::int as uniform_number, c.v as position, (case when n_nationkey % 2 = 1 then 'away_' else 'home_' end) || s_suppkey as object_id, s_suppkey % 3 = 0 as starting
+from supplier join nation on s_nationkey = n_nationkey left join (values {_CODES}) c(k, v) on c.k = {_CODE_SQL}""")
+def xml_lineup(spark, d):
+    """Lineups written as nested XML and read by the provider, position codes translated."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    code = F.element_at(F.array(*[F.lit(c) for c in [*xml_provider.POSITIONS, "ZZ"]]), F.expr(f"cast(s_suppkey % {len(xml_provider.POSITIONS) + 1} as int) + 1"))
+    num = F.col("s_suppkey").cast("string")
+    player = F.concat(F.lit('<Player PersonId="S'), num, F.lit('" ShirtNumber="'), num, F.lit('" Shortname="x" Starting="'), F.expr("cast(s_suppkey % 3 = 0 as string)"), F.lit('" PlayingPosition="'), code, F.lit('" TeamLeader="false"/>'))
+    team = s.groupBy("n_nationkey", "n_name").agg(F.array_join(F.collect_list(player), "").alias("ps"))
+    line = F.concat(F.lit('<Team TeamId="'), F.col("n_nationkey").cast("string"), F.lit('" TeamName="'), F.col("n_name"), F.lit('" Role="'), F.when(F.col("n_nationkey") % 2 == 1, "guest").otherwise("home"), F.lit('"><Players>'), F.col("ps"), F.lit("</Players></Team>"))
+    path = _folder(spark, "lineup")
+    _write_xml(team.select(F.lit(1).alias("m"), line.alias("value")), path)
+    return xml_provider.read_lineup(spark, path).select("team_name", "home_away", "player_id", "uniform_number", "position", "object_id", "starting")
+
+
+@role(""" select match_id, period_id, coalesce(player_id, 'BALL') as person_id, frame_id, x, y, z, case when frame_id % 9 < 6 then 'alive' else 'dead' end as ball_state, round((frame_id - min(frame_id) over (partition by match_id, period_id)) / 25.0::double, 6) as timestamp from tr where ball or player_id = 'away_2'""")
+def xml_tracking(spark, d):
+    """Frame sets written as XML and read by the provider."""
+    t = match_tracking(spark, d).where(F.col("ball") | (F.col("player_id") == "away_2")).withColumn("o", F.coalesce("player_id", F.lit("BALL")))
+    n = F.col("frame_id").cast("string")
+    z = F.when(F.col("z").isNull(), "").otherwise(F.concat(F.lit('" Z="'), F.col("z").cast("string")))
+    frame = F.concat(F.lit('<Frame N="'), n, F.lit('" X="'), (F.col("x") - 52.5).cast("string"), F.lit('" Y="'), (F.col("y") - 34).cast("string"), z, F.lit('" BallStatus="'), F.when(F.col("frame_id") % 9 < 6, "1").otherwise("0"), F.lit('"/>'))
+    sets = t.groupBy("match_id", "period_id", "o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_id", frame.alias("f")))), lambda s: s["f"]), "").alias("fs"))
+    half = F.when(F.col("period_id") == 1, "firstHalf").otherwise("secondHalf")
+    line = F.concat(F.lit('<FrameSet GameSection="'), half, F.lit('" TeamId="'), F.col("o"), F.lit('" PersonId="'), F.col("o"), F.lit('">'), F.col("fs"), F.lit("</FrameSet>"))
+    path = _folder(spark, "frames")
+    _write_xml(sets.select(F.col("match_id").alias("m"), line.alias("value")), path)
+    got = xml_provider.read_tracking(spark, path, r"/m=([^/]+)/")
+    return got.select("match_id", "period_id", "person_id", "frame_id", "x", "y", "z", "ball_state", F.round("timestamp", 6).alias("timestamp"))
