@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.contracts import EVENTS, TRACKING, ContractError, validate
+from chronoweave.plans.detectors import best_frame
 from chronoweave.plans.synchronise import located, synchronise
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -68,3 +71,178 @@ def test_located(match):
     e, t = match
     got = {r["event_idx"]: r["frame_id"] for r in located(e, t).collect()}
     assert set(got) == {0, 1, 2} and got[0] <= got[1] <= got[2]
+
+
+def naive_peaks(y, prominence, distance=None):
+    """Local maxima by definition: plateaus by their middle, thinned from the highest, then by prominence."""
+    n, out = len(y), []
+    for i in range(1, n - 1):
+        j = i
+        while j + 1 < n and y[j + 1] == y[i]:
+            j += 1
+        if y[i] != y[i - 1] and y[i - 1] < y[i] and j + 1 < n and y[j + 1] < y[i]:
+            out.append((i + j) // 2)
+    if distance:
+        for i in sorted(out, key=lambda i: (-y[i], -i)):
+            if i in out:
+                out = [j for j in out if j == i or abs(i - j) >= distance]
+    keep = []
+    for i in out:
+        lo = hi = y[i]
+        for j in range(i, -1, -1):
+            if y[j] > y[i]:
+                break
+            lo = min(lo, y[j])
+        for j in range(i, n):
+            if y[j] > y[i]:
+                break
+            hi = min(hi, y[j])
+        if y[i] - max(lo, hi) >= prominence:
+            keep.append(i)
+    return keep
+
+
+def naive_smooth(y, width=9):
+    """A local quadratic through each window by least squares; the ends from the end windows."""
+    if len(y) <= width:
+        return list(y)
+    out, half = [], width // 2
+    for i in range(len(y)):
+        s = min(max(0, i - half), len(y) - width)
+        c = np.polyfit(np.arange(s, s + width) - s, y[s : s + width], 2)
+        out.append(float(np.polyval(c, i - s)))
+    return out
+
+
+def clamp(x, lo, hi, up=False):
+    y = min(1.0, max(0.0, (x - lo) / (hi - lo)))
+    return y if up else 1 - y
+
+
+# source columns (name, sign, prominence, distance), gates, first and last, smoothed columns
+NAIVE = {
+    "pass_like": ([("player_dist", -1, 1, None), ("ball_height", -1, 0.5, None), ("ball_accel", 1, 10, 10)], {"player_dist": 3, "ball_height": 3.5}, (True, False), []),
+    "tackle": ([("player_dist", -1, 0.1, None), ("oppo_dist", -1, 0.1, None), ("ball_height", -1, 0.5, None), ("ball_accel", 1, 10, 5)], {"player_dist": 3, "oppo_dist": 3, "ball_height": 3.5}, (True, False), ["player_dist", "oppo_dist"]),
+    "dispossessed": ([("player_dist", -1, 0.1, None), ("ball_accel", 1, 10, None)], {"player_dist": 1.5, "ball_height": 3.5}, (True, True), ["player_dist"]),
+    "take_on": ([("player_dist", -1, 0.1, None), ("ball_accel", 1, 10, None)], {"player_dist": 1.5, "ball_height": 2}, (True, True), ["player_dist"]),
+    "second_take_on": ([("player_dist", -1, 0.1, None), ("ball_accel", 1, 10, None)], {"player_dist": 1.5, "ball_height": 2}, (False, True), ["player_dist"]),
+    "incoming": ([("player_dist", -1, 1, None), ("ball_height", -1, 0.5, None), ("rel_accel", 1, 10, 5)], {"player_dist": 3, "ball_height": 3.5}, (True, False), ["player_dist"]),
+    "receive": ([("closest_dist", -1, 0.5, None), ("ball_accel", 1, 10, 10)], {"closest_dist": 2, "ball_height": 3}, (True, True), []),
+}
+
+
+def naive_best(kind, f, fps=25):
+    """The best frame of a detector, step by step over lists."""
+    f = {k: list(v) for k, v in f.items()}
+    sources, gates, (first, last), smoothed = NAIVE[kind]
+    n, frame = len(f["frame"]), f["frame"]
+    for c in smoothed:
+        f[c] = naive_smooth(f[c])
+    if kind == "incoming":
+        step = [f["player_dist"][i + 1] - f["player_dist"][i] for i in range(n - 1)]
+        f["rel_speed"] = [x * fps for x in [*step, step[-1]]]
+        f["rel_accel"] = naive_smooth([0.0] + [abs(f["rel_speed"][i] - f["rel_speed"][i - 1]) * fps for i in range(1, n)])
+    cand = set(naive_peaks([sources[0][1] * v for v in f[sources[0][0]]], sources[0][2], sources[0][3])) | ({0} if first else set()) | ({n - 1} if last else set())
+    for c, sign, prominence, distance in sources[1:]:
+        for i in naive_peaks([sign * v for v in f[c]], prominence, distance):
+            if not cand & set(range(i - 3, i + 4)):
+                cand.add(i)
+    near = lambda i, c, fn: fn(f[c][j] for j in range(n) if abs(frame[j] - frame[i]) <= 3)
+    rows = []
+    for i in sorted(cand):
+        low = {c: near(i, c, min) for c in ("player_dist", "oppo_dist", "ball_height", "closest_dist", "next_player_dist") if c in f}
+        if any(low[c] >= g for c, g in gates.items()) or (kind == "incoming" and near(i, "rel_speed", max) <= -1):
+            continue
+        rows.append((i, low, near(i, "rel_accel" if kind == "incoming" else "ball_accel", max)))
+    between = lambda c, a, z: max(f[c][j] for j in range(n) if a <= frame[j] <= z)
+    best = None
+    for k, (i, low, accel) in enumerate(rows):
+        x = frame[i]
+        delay = clamp(f["frame_delay"][i], 0, 125) if "frame_delay" in f else 0
+        if kind == "pass_like":
+            kick = between("player_dist", x, frame[rows[k + 1][0]] if k + 1 < len(rows) else frame[-1])
+            s = 25 * (clamp(accel, 0, 20, True) + clamp(low["player_dist"], 0, 3) + clamp(kick, 0, 5, True) + delay)
+        elif kind == "incoming":
+            kick = between("player_dist", frame[rows[k - 1][0]] if k else frame[0], x)
+            kick = max(kick, 5) if k == 0 else kick
+            s = 25 * (clamp(accel, 0, 20, True) + clamp(low["player_dist"], 0, 3) + clamp(kick, 0, 5, True) + delay)
+        elif kind == "tackle":
+            z = frame[rows[k + 1][0]] if k + 1 < len(rows) else x + 2 * fps
+            kick = max(between("player_dist", x, z), between("oppo_dist", x, z))
+            s = 20 * (clamp(accel, 0, 20, True) + clamp(low["player_dist"], 0, 3) + clamp(low["oppo_dist"], 0, 3) + clamp(kick, 0, 5, True) + delay)
+        elif kind == "dispossessed":
+            kick = between("player_dist", x, frame[rows[k + 1][0]] if k + 1 < len(rows) else x + 2 * fps)
+            s = 100 / 3 * (clamp(accel, 0, 20, True) + clamp(low["player_dist"], 0, 3) + clamp(kick, 0, 5, True))
+        elif kind == "receive":
+            kick = between("next_player_dist", frame[rows[k - 1][0]] if k else frame[0], x) - f["next_player_dist"][i]
+            s = 25 * (clamp(accel, 0, 20, True) + clamp(low["closest_dist"], 0, 3) + clamp(low["next_player_dist"], 0, 3) + clamp(kick, 0, 5, True))
+        else:
+            fast = between("player_speed", x, x + fps // 2)
+            same = [j for j in range(n) if f["oppo_id"][j] == f["oppo_id"][i]]
+            a, b = next(j for j in same if frame[j] >= x - fps // 5), [j for j in same if frame[j] <= x + fps][-1]
+            v, w = (f["oppo_rel_x"][a], f["oppo_rel_y"][a]), (f["oppo_rel_x"][b], f["oppo_rel_y"][b])
+            norm = np.hypot(*v) * np.hypot(*w)
+            cos = (v[0] * w[0] + v[1] * w[1]) / norm if norm else 0
+            s = 20 * (clamp(accel * 2, 0, 20, True) + clamp(fast, 0, 5, True) + clamp((fast - f["player_speed"][i]) * 2, 0, 5, True) + clamp(f["oppo_dist"][i] - 3, 0, 3) + clamp(cos, -1, 1))
+        if best is None or s > best[0] + 1e-9:
+            best = (s, x)
+    return None if best is None else int(best[1])
+
+
+@pytest.mark.parametrize("kind", sorted(NAIVE))
+def test_detectors_by_naive_loops(kind):
+    """Random windows, some with missing frames, against the detector's description in plain loops."""
+    found = 0
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(11, 120))
+        frame = np.sort(r.choice(np.arange(100, 100 + n + int(r.integers(0, 8))), n, replace=False)).astype(float)
+        wave = lambda lo, hi, p: lo + (hi - lo) * (0.5 + 0.5 * np.sin(np.arange(n) / r.uniform(p, 3 * p) + r.uniform(0, 6)))  # noqa: E731,B023
+        noise = lambda s: r.normal(0, s, n)  # noqa: E731,B023
+        f = {
+            "frame": frame, "player_dist": np.abs(wave(0, 6, 4) + noise(0.1)), "oppo_dist": np.abs(wave(0, 5, 5) + noise(0.1)), "ball_height": np.abs(wave(0, 4, 6) + noise(0.05)), "ball_accel": np.abs(noise(8)) + 40 * (r.random(n) < 0.06),
+            "player_speed": np.abs(wave(0, 7, 6)), "frame_delay": np.maximum(0, frame - 100 - int(r.integers(0, n))), "oppo_id": np.where(np.arange(n) < int(r.integers(0, n)), "away_1", "away_2").astype(object), "oppo_rel_x": noise(3), "oppo_rel_y": noise(3),
+        }
+        if kind == "receive":
+            f = {"frame": frame, "closest_dist": np.abs(wave(0, 5, 4) + noise(0.1)), "next_player_dist": np.abs(wave(0, 9, 6)), "ball_height": f["ball_height"], "ball_accel": f["ball_accel"]}
+        want = naive_best(kind, f)
+        found += want is not None
+        assert best_frame(kind, f) == want, (kind, seed)
+    assert found > 20
+
+
+def test_set_piece_and_foul_frames():
+    f = {"frame": np.array([5.0, 6, 7, 10, 11]), "player_dist": np.array([9.0, 3.0, 2.9, 0.5, 0.1])}
+    assert best_frame("set_piece", f) == 7 and best_frame("foul", f) == 7
+    assert best_frame("set_piece", {"frame": f["frame"], "player_dist": f["player_dist"] + 5}) is None
+    assert best_frame("foul", {"frame": np.array([5.0, 6, 7]), "player_dist": f["player_dist"][:3]}) == 7
+    assert best_frame("foul", {"frame": np.zeros(0)}) is None and best_frame(None, f) is None
+
+
+def test_minor_events_take_what_their_neighbours_have(spark):
+    """Copies between neighbours: bad touch after its receive, dispossession and tackle, foul after foul."""
+    from chronoweave import vocab
+    from chronoweave.plans.synchronise import PACKED, minor_fold
+
+    none = {f"f_{c}": None for c in PACKED}
+    flat = {"f_frame": [float(x) for x in range(300, 330)], "f_player_dist": [abs(x - 315) * 0.2 for x in range(300, 330)], "f_ball_height": [0.0] * 30, "f_ball_accel": [30.0 if x == 315 else 0.0 for x in range(300, 330)], "f_player_speed": [1.0] * 30, "f_player_accel": [0.0] * 30, "f_frame_delay": [0.0] * 30, "f_oppo_dist": [0.5] * 30, "f_oppo_rel_x": [0.1] * 30, "f_oppo_rel_y": [0.1] * 30, "f_oppo_id": ["away_2"] * 30}
+    rows = [
+        (0, 1, "pass", "home_1", 100, "home_2", 140, none), (1, 1, "bad_touch", "home_2", None, None, None, none), (2, 1, "pass", "home_2", 290, "x", None, none),
+        (3, 1, "dispossessed", "home_3", None, None, None, none), (4, 1, "tackle", "away_1", None, None, None, flat), (5, 1, "foul", "away_1", None, None, None, flat), (6, 1, "foul", "home_1", None, None, None, none),
+        (7, 1, "dispossessed", "home_3", None, None, None, none), (8, 2, "tackle", "away_1", None, None, None, none),
+    ]
+    types = ", ".join(f"f_{c} array<{'string' if c == 'oppo_id' else 'double'}>" for c in PACKED)
+    df = spark.createDataFrame([("m", i, p, t, who, fr, rc, rf, 1000, *[x[f"f_{c}"] for c in PACKED]) for i, p, t, who, fr, rc, rf, x in rows], "match_id string, event_idx long, period_id long, spadl_type string, player_id string, frame_id long, receiver_id string, receive_frame_id long, last_frame long, " + types)
+    got = {r["event_idx"]: r["frame_id"] for r in minor_fold(df, 25, vocab.MINOR, False).collect()}
+    assert got == {0: 100, 1: 140, 2: 290, 3: 315, 4: 315, 5: 329, 6: 329, 7: None, 8: None}
+    kept = {r["event_idx"]: r["frame_id"] for r in minor_fold(df.withColumn("frame_id", F.expr("if(event_idx = 4, 312, frame_id)")), 25, ["dispossessed"], False).collect()}
+    assert kept[3] == 312 and kept[4] == 312 and kept[7] is None
+
+
+def test_folds_run_once(spark, match, tmp_path):
+    """Tracking is scanned a bounded number of times, however the synced table is used after."""
+    e, t = match
+    t.write.parquet(str(tmp_path / "t"))
+    synced = synchronise(e, spark.read.parquet(str(tmp_path / "t")))
+    plan = synced._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 2 and "FlatMapGroups" not in plan  # the two clock joins only
