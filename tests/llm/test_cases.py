@@ -344,7 +344,7 @@ def test_near_classes_by_brute_force(spark):
     want = {}
     for i in range(len(texts)):
         want.setdefault(root(i), []).append(i)
-    for block in (512, 4):
+    for block in (512, 1):
         got = {}
         for x in ordermh.near_classes(docs, block=block).collect():
             got.setdefault(x["class_id"], []).append(x["doc_id"])
