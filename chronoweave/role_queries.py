@@ -405,10 +405,10 @@ def gated_sink(spark, d):
 
 
 @query("""select event_id, frame, epoch_us(timestamp '2024-01-01 12:00:00') + frame * 40000 as us, printf('%02d:%02d.%02d', c // 6000, (c // 100) % 60, c % 100) as clock, (ts::date - date '1970-01-01')::bigint as day, epoch_us(ts) - 7200000000 as zoned
-from (select *, (event_id * 7919) % 600000 as c, round_even(((event_id * 7919) % 600000) / 100.0::double * 25, 0)::bigint as frame from events)""")
+from (select *, (event_id * 7919) % 150000 * 4 as c, (event_id * 7919) % 150000 as frame from events)""")
 def clocks(spark, d):
     """Clock text to frame and back to times; dates; times with a zone."""
-    e = events(spark, d).withColumn("c", F.col("event_id") * 7919 % 600000 / F.lit(100.0))
+    e = events(spark, d).withColumn("c", F.col("event_id") * 7919 % 150000 * 4 / F.lit(100.0))
     frame = times.clock_to_frame(times.format_clock(F.col("c")))
     start = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
     zoned = times.utc_from_zoned(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00")))
@@ -629,3 +629,10 @@ def xml_tracking(spark, d):
     _write_xml(sets.select(F.col("match_id").alias("m"), line.alias("value")), path)
     got = xml_provider.read_tracking(spark, path, r"/m=([^/]+)/")
     return got.select("match_id", "period_id", "person_id", "frame_id", "x", "y", "z", "ball_state", F.round("timestamp", 6).alias("timestamp"))
+
+
+@query()
+def sync_full(spark, d):
+    """The whole synchroniser on the match tables; its folds have no SQL, its steps above have."""
+    s = syn.synchronise(match_events(spark, d).drop("event_id", "value"), match_tracking(spark, d))
+    return s.select("match_id", "event_idx", "frame_id", "synced_ts", "receiver_id", "receive_frame_id", "receive_ts")
