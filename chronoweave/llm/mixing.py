@@ -43,7 +43,7 @@ DIGITS, MARKS = "0123456789", "{}<>=;$|"
 def topic_of(text):
     """The form of a text: none (blank), numeric (a tenth digits), markup (a fiftieth marks), list (4 lines or more of 40 characters or fewer on average), brief (under 400 characters) or prose; the first that holds."""
     t = F.coalesce(text, F.lit(""))
-    n, lines = F.length(t), F.length(t) - F.length(F.translate(t, "\n", "")) + 1
+    n, lines = F.length(t), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
     digits, marks = n - F.length(F.translate(t, DIGITS, "")), n - F.length(F.translate(t, MARKS, ""))
     return F.when(F.trim(t) == "", "none").when(digits * 10 >= n, "numeric").when(marks * 50 >= n, "markup").when((lines >= 4) & (n <= lines * 40), "list").when(n < 400, "brief").otherwise("prose")
 
@@ -51,7 +51,7 @@ def topic_of(text):
 def tokens_of(text):
     """Space-separated pieces, one at least: the spaces of the text and one."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, " \n", "")) + 1).cast("long")
+    return (F.length(t) - F.length(F.replace(F.replace(t, F.lit("\n"), F.lit("")), F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def draw(doc_id, text, seed: int = 1):
@@ -103,9 +103,13 @@ def cell_columns(topic=None) -> list:
 
 def weights(docs: DataFrame, targets: dict | None = None, topic=None, temper: float = TEMPER, rounds: int = ROUNDS, max_cells: int = 200_000) -> DataFrame:
     """One row a cell: source, lang, topic, cell_tokens, weight, keep_prob."""
-    spark = docs.sparkSession
-    names = [*DIMS, "tokens"]
-    cells = docs.select(*[c.alias(n) for c, n in zip(cell_columns(topic), names, strict=True)]).groupBy(*DIMS).agg(F.sum("tokens").alias("n"))
+    cells = docs.select(*[c.alias(n) for c, n in zip(cell_columns(topic), [*DIMS, "tokens"], strict=True)])
+    return weights_of(cells.groupBy(*DIMS).agg(F.sum("tokens").alias("n")), targets, temper, rounds, max_cells)
+
+
+def weights_of(cells: DataFrame, targets: dict | None = None, temper: float = TEMPER, rounds: int = ROUNDS, max_cells: int = 200_000) -> DataFrame:
+    """``weights`` of counted cells: source, lang, topic, n."""
+    spark = cells.sparkSession
     got = cells.limit(max_cells + 1).collect()
     schema = "source string, lang string, topic string, cell_tokens long, weight double, keep_prob double"
     if len(got) <= max_cells:
@@ -152,23 +156,30 @@ def _rake_distributed(cells: DataFrame, targets, temper, rounds) -> DataFrame:
     return cells.select(*DIMS, F.col("n").alias("cell_tokens"), F.col("w").alias("weight"), (F.col("w") / top).alias("keep_prob"))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, topic=None, temper: float = TEMPER, seed: int = 1, max_cells: int = 200_000, out: tuple = OUT) -> DataFrame:
-    """``docs`` with topic, tokens, weight, keep_prob and sampled, under the names ``out`` (which replace columns of that name)."""
-    w = weights(docs, targets, topic, temper, max_cells=max_cells)
+def mix(docs: DataFrame, targets: dict | None = None, topic=None, temper: float = TEMPER, seed: int = 1, max_cells: int = 200_000, out: tuple = OUT, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, by default all) with topic, tokens, weight, keep_prob and sampled, under the names ``out`` (which replace columns of that name).
+
+    Where ``keep`` leaves the text out, texts are read once and what is computed of them is kept.
+    """
+    names = docs.columns if keep is None else keep
     made = unused(docs, 10, *out)
-    keys, tokens, own = made[:3], made[3], made[4:7]
-    cols = cell_columns(topic)
-    d = docs.withColumns(dict(zip([*keys, tokens], cols, strict=True)))
+    keys, tokens, own, chance = made[:3], made[3], made[4:7], made[9]
+    d = docs.withColumns(dict(zip([*keys, tokens, chance], [*cell_columns(topic), draw(F.col("doc_id"), F.col("text"), seed)], strict=True)))
+    if "text" in names:
+        w = weights(docs, targets, topic, temper, max_cells=max_cells)
+    else:
+        d = kept(d.select(*[quoted(c) for c in names], *keys, tokens, chance))
+        w = weights_of(d.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, DIMS, strict=True)]).agg(F.sum(tokens).alias("n")), targets, temper, max_cells=max_cells)
     w = w.select(*[F.col(x).alias(k) for x, k in zip(DIMS, own, strict=True)], F.col("weight").alias(made[7]), F.col("keep_prob").alias(made[8]))
     j = d.join(w, [d[k] == w[o] for k, o in zip(keys, own, strict=True)], "left")
-    sampled = draw(F.col("doc_id"), F.col("text"), seed) < F.col(made[8])
+    sampled = F.col(chance) < F.col(made[8])
     new = [F.col(keys[2]), F.col(tokens), F.col(made[7]), F.col(made[8]), sampled]
-    return j.select(*[quoted(c) for c in docs.columns if c not in out], *[c.alias(n) for c, n in zip(new, out, strict=True)])
+    return j.select(*[quoted(c) for c in names if c not in out], *[c.alias(n) for c, n in zip(new, out, strict=True)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("keep_prob", 6).alias("keep_prob"), "sampled")
+    return mix(docs, keep=["doc_id"]).select("doc_id", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("keep_prob", 6).alias("keep_prob"), "sampled")
 
 
 def _oracle() -> str:

@@ -621,3 +621,11 @@ def test_whole_license_files(spark):
     files = [(1, "a/LICENSE", mit), (2, "a/x.py", "code"), (3, "b/LICENSE", bsd), (4, "c/LICENSE", apache), (5, "d/x.py", head + "\nimport os\n" + "x = call(y)\n" * 500), (6, "e/x.txt", "No license here. " + prose(5, 400)), (7, "c/y", None)]
     got = {r["key"]: (r["license"], r["via"]) for r in licenses.scan(spark.createDataFrame(files, "key long, path string, text string")).collect()}
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "own"), 4: ("Apache-2.0", "own"), 5: ("MIT", "own"), 6: (None, "none"), 7: ("Apache-2.0", "inherited")}
+
+
+def test_mixing_without_text_reads_texts_once(spark):
+    rows = [(i, None if i % 7 == 0 else "a b\nc " * (i % 5) + str(i), "en" if i % 3 else None, "s" if i % 2 else "t") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    short = mixing.mix(docs, keep=["doc_id"])
+    assert "xxhash64" not in (plan := short._jdf.queryExecution().optimizedPlan().toString()) and "md5" not in plan and "translate" not in plan
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, mixing.mix(docs).select(short.columns).collect()))
