@@ -351,6 +351,37 @@ def test_near_classes_by_brute_force(spark):
         assert sorted(map(sorted, got.values())) == sorted(want.values())
 
 
+def test_near_classes_lose_no_link_of_large_buckets(spark):
+    """Pairs at 0.80 among texts that are all at 0.79: they meet in large buckets, and their own shingles are held by two."""
+    common = prose(300, 265)
+    texts = [(2 * p + k, f"{common} {prose(400 + p, 3)} {prose(1000 + 2 * p + k, 32)}") for p in range(40) for k in (0, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for block in (1, 512):
+        got = {x["doc_id"]: x["class_id"] for x in ordermh.near_classes(docs, block=block).collect()}
+        assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_parts_of_buckets_hold_every_mixed_pair(spark):
+    rows = [(bk, i, i // 3 if i < 12 else 99) for bk in (1, 2) for i in range(40)] + [(3, i, i) for i in range(4, 15)]
+    got = ordermh.in_parts(spark.createDataFrame(rows, "bk long, id long, comp long"), 6).collect()
+    held = {}
+    for x in got:
+        held.setdefault(x["bk"], []).append((x["id"], x["comp"]))
+    assert all(len(v) <= 6 and len({c for _, c in v}) > 1 for v in held.values())
+    pairs = {frozenset((x, y)) for v in held.values() for (x, c), (y, d) in itertools.combinations(v, 2) if c != d}
+    want = [(i, j) for bk in (1, 3) for (b, i, c), (e, j, d) in itertools.combinations(rows, 2) if b == e == bk and c != d]
+    assert {frozenset(p) for p in want} <= pairs
+
+
+def test_components_alone_and_by_rounds(spark):
+    r = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(150)]
+    df = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long")
+    one, many = (sorted(tuple(x) for x in ordermh.components(df, alone=n).collect()) for n in (1000, 0))
+    assert one == many and dict(one)[60] == 0
+    assert ordermh.components(df.limit(0)).count() == 0
+
+
 def test_versions_of_a_document_do_not_depend_on_partitions(spark):
     a, b = prose(1, 60), prose(2, 60)
     rows = [(1, a), (2, a + " tail"), (2, b), (3, b), (4, None), (4, ""), (5, None), (5, "x y"), (6, "X, y"), (None, a), (3, b)]
