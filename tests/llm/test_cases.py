@@ -660,3 +660,13 @@ def test_mixing_without_text_reads_texts_once(spark):
     short = mixing.mix(docs, keep=["doc_id"])
     assert "xxhash64" not in (plan := short._jdf.queryExecution().optimizedPlan().toString()) and "md5" not in plan and "translate" not in plan
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, mixing.mix(docs).select(short.columns).collect()))
+
+
+def test_components_of_a_long_path_take_few_jobs(spark):
+    """The driver keeps the plans, stages and tasks of past jobs, so their number must not follow the rounds."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").localCheckpoint()
+    sc.setJobGroup("path", "")
+    ordermh.components(df)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("path")) <= 8
