@@ -670,3 +670,23 @@ def test_components_of_a_long_path_take_few_jobs(spark):
     ordermh.components(df)
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(sc.statusTracker().getJobIdsForGroup("path")) <= 8
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows of a class than a sample would hold, in several shards, and texts of any length."""
+    seen = []
+    merged = toxicity.merged
+    monkeypatch.setattr(toxicity, "merged", lambda got: seen.append(got) or merged(got))
+    monkeypatch.setattr(toxicity, "SHARD", 20_000)
+    rows = [(i, f"word{i % 7} vile" if i % 8 else f"word{i % 7} kind", "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(4000)] + [(1, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    held = docs.where("pmod(xxhash64(doc_id, 'held'), 5) = 0")
+    once = toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"])
+    got = {r["doc_id"]: r for r in once.collect()}
+    assert seen[0]["rows"].sum() == 4001 - held.count() - held.where("doc_id = 1").count() and seen[0]["of c"][0] > 1
+    assert all(r["predicted"] == int(i % 8 > 0) for i, r in got.items())
+    again = toxicity.score(docs, toxicity.train(docs.repartition(7), labels.repartition(3)), ["doc_id"])
+    assert all(abs(r["score"] - got[r["doc_id"]]["score"]) < 1e-4 for r in again.collect())
+    long = docs.where("doc_id < 16").selectExpr("doc_id", "concat(repeat('so ', 30001), text) as text", "lang")
+    assert toxicity.train(long, labels) is not None
