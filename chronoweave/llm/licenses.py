@@ -10,7 +10,8 @@ the cosine to each template is the sum over shared words.  The best template fro
 Whole license texts are compared as well, where a file holds a cue of them (``TEXT_CUE``,
 which each of the texts has): the words of its leading comment, or of the whole file if it
 does not begin with a comment, become TF-IDF vectors of word pairs, and so do the texts in
-``licence_texts``.  A match from ``least`` on comes before a match of notices.  CC-BY texts
+``licence_texts``; the files that hold a cue are the corpus of these vectors, and every pair
+of theirs, a template's or not, has its own document frequency in it.  A match from ``least`` on comes before a match of notices.  CC-BY texts
 are not among them.  A file without a license takes the license of the license file in its
 nearest ancestor directory.
 
@@ -19,17 +20,15 @@ inherit nothing; rows are told apart, so repeated rows and keys each get a row;
 license files of one directory give the best score, ties to the first license by name; an
 empty table gives an empty result; other columns are ignored.
 
-Scale: files are read once; what is kept of each is its header words, the hashes of those
-of its word pairs that a template has, and the squared length of the others.  Frequencies
-are pre-aggregated; templates and their weights (about 18,000 pairs) are fixed in size and
-broadcast.  A directory has one row for its license, and a path joins its ancestors, one row
-for each level, so no group holds all files of a directory.
+Scale: files are read once; what is kept of each is its header words and, with a cue of whole
+texts, the hashes of its word pairs.  Frequencies are pre-aggregated; templates and their
+weights (about 18,000 pairs) are fixed in size and broadcast.  A directory has one row for its
+license, and a path joins its ancestors, one row for each level, so no group holds all files
+of a directory.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +57,7 @@ TEMPLATES = {
 CUE = "licen|copyright|spdx|redistribut|copyleft"
 #: whole license texts hold one of these
 TEXT_CUE = "hereby granted|warrant|redistribut|combined work"
-LEAST, BUCKETS = 0.5, 4096
+LEAST = 0.5
 WORDS = "[^a-z0-9.]+"
 
 
@@ -84,13 +83,6 @@ def word_pairs(low):
     return F.zip_with(F.slice(ws, 1, n), F.slice(ws, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
-def squares(hashes):
-    """Sum of the squared counts of the values of an array, by runs of the sorted array."""
-    start = F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("q"))
-    step = lambda s, x: F.struct(x.alias("v"), F.when(x == s["v"], s["n"] + 1).otherwise(F.lit(1).cast("bigint")).alias("n"), F.when(x == s["v"], s["q"] + 2 * s["n"] + 1).otherwise(s["q"] + 1).alias("q"))
-    return F.aggregate(F.array_sort(hashes), start, step, lambda s: s["q"])
-
-
 def text_templates(spark: SparkSession) -> dict[str, dict[int, int]]:
     """Counts of word pairs of each license text."""
     texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
@@ -101,16 +93,10 @@ def text_templates(spark: SparkSession) -> dict[str, dict[int, int]]:
     return out
 
 
-def prepared(files: DataFrame, texts: dict[str, dict[int, int]]) -> DataFrame:
-    """id, key, path, head (words), pairs (hashes that a template has) and rest (squared length of the other pairs' counts) of every file, kept."""
-    known = [[] for _ in range(BUCKETS)]
-    for w in sorted({w for t in texts.values() for w in t}):
-        known[w % BUCKETS].append(w)
-    buckets = F.from_json(F.lit(json.dumps(known)), "array<array<bigint>>")
+def prepared(files: DataFrame) -> DataFrame:
+    """id, key, path, head (words) and pairs (hashes) of every file, kept."""
     d = files.select("key", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    d = d.select("key", "path", header_words(F.col("low")).alias("head"), word_pairs(F.col("low")).alias("all"))
-    d = d.withColumn("pairs", F.filter("all", lambda x: F.array_contains(F.element_at(buckets, F.pmod(x, F.lit(BUCKETS)).cast("int") + 1), x)))
-    return kept(d.select(F.monotonically_increasing_id().alias("id"), "key", "path", "head", "pairs", (squares(F.col("all")) - squares(F.col("pairs"))).alias("rest")))
+    return kept(d.select(F.monotonically_increasing_id().alias("id"), "key", "path", header_words(F.col("low")).alias("head"), word_pairs(F.col("low")).alias("pairs")))
 
 
 def best_of(cos: DataFrame, least: float) -> DataFrame:
@@ -118,32 +104,10 @@ def best_of(cos: DataFrame, least: float) -> DataFrame:
     return best.select("id", F.substring_index("b.license", "#", 1).alias("license"), (-F.col("b.s")).alias("score"))
 
 
-def whole_texts(base: DataFrame, texts: dict[str, dict[int, int]], n: int, least: float = LEAST) -> DataFrame:
-    """id, license, score of the files that hold a whole license text."""
-    spark = base.sparkSession
-    tf = kept(base.where(F.size("pairs") > 0).select("id", "rest", F.explode("pairs").alias("w")).groupBy("id", "rest", "w").agg(F.count("*").alias("tf")))
-    df = dict(tf.groupBy("w").agg(F.count("*").alias("df")).collect())  # pairs of templates only
-    idf = lambda w: math.log((n + 1.0) / (df.get(w, 0) + 1.0)) + 1.0
-    # pairs that no license has count with the weight of a pair of one file, the largest, so foreign words never raise a score
-    top = math.log((n + 1.0) / 2.0) + 1.0
-    rows = []
-    for license, t in texts.items():
-        norm = math.sqrt(sum((c * idf(w)) ** 2 for w, c in t.items()))
-        rows += [(license, w, c * idf(w) / norm) for w, c in t.items()]
-    tw = F.broadcast(spark.createDataFrame(rows, "license string, w long, tx double"))  # fixed size
-    ws = F.broadcast(spark.createDataFrame([(w, idf(w)) for w in {r[1] for r in rows}], "w long, idf double"))
-    fw = tf.join(ws, "w").withColumn("fx", F.col("tf") * F.col("idf"))
-    fn = fw.groupBy("id").agg(F.sqrt(F.sum(F.col("fx") * F.col("fx")) + F.first("rest") * F.lit(top * top)).alias("fn"))
-    dots = fw.join(tw, "w").groupBy("id", "license").agg(F.sum(F.col("fx") * F.col("tx")).alias("dot"))
-    return best_of(dots.join(fn, "id").select("id", "license", F.round(F.col("dot") / F.col("fn"), 6).alias("score")), least)
-
-
-def by_notices(base: DataFrame, n: int, least: float = LEAST) -> DataFrame:
-    """id, license, score of the files with a notice."""
-    tf = base.where(F.size("head") > 0).select("id", F.explode("head").alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
+def cosines(terms: DataFrame, t: DataFrame, n: int, least: float) -> DataFrame:
+    """id, license, score of the best template by TF-IDF cosine; terms: id, w of n files, t: license, w, tf of the templates."""
+    tf = terms.groupBy("id", "w").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    t = base.sparkSession.createDataFrame(sorted(TEMPLATES.items()), "license string, text string")  # fixed size
-    t = t.select("license", F.explode(clean_words(F.lower("text"))).alias("w")).groupBy("license", "w").agg(F.count("*").alias("tf"))
     idf = F.log((F.lit(float(n)) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
     tw = t.join(df, "w", "left").select("license", "w", (F.col("tf") * idf).alias("tx"))
     tn = tw.groupBy("license").agg(F.sqrt(F.sum(F.col("tx") * F.col("tx"))).alias("tn"))
@@ -153,17 +117,30 @@ def by_notices(base: DataFrame, n: int, least: float = LEAST) -> DataFrame:
     return best_of(dots.join(F.broadcast(tn), "license").join(fn, "id").select("id", "license", F.round(F.col("dot") / (F.col("fn") * F.col("tn")), 6).alias("score")), least)
 
 
+def whole_texts(base: DataFrame, texts: dict[str, dict[int, int]], n: int, least: float = LEAST) -> DataFrame:
+    """id, license, score of the files, of n with a cue, that hold a whole license text."""
+    t = base.sparkSession.createDataFrame([(license, w, c) for license, own in texts.items() for w, c in own.items()], "license string, w long, tf long")  # fixed size
+    return cosines(base.select("id", F.explode("pairs").alias("w")), t, n, least)
+
+
+def by_notices(base: DataFrame, n: int, least: float = LEAST) -> DataFrame:
+    """id, license, score of the files with a notice."""
+    t = base.sparkSession.createDataFrame(sorted(TEMPLATES.items()), "license string, text string")  # fixed size
+    t = t.select("license", F.explode(clean_words(F.lower("text"))).alias("w")).groupBy("license", "w").agg(F.count("*").alias("tf"))
+    return cosines(base.where(F.size("head") > 0).select("id", F.explode("head").alias("w")), t, n, least)
+
+
 def own_licenses(base: DataFrame, texts: dict[str, dict[int, int]], least: float = LEAST) -> DataFrame:
     """id, license, score of the files with a license of their own, by whole texts first, then by notices."""
-    n = base.count()
-    both = whole_texts(base, texts, n, least).withColumn("o", F.lit(0)).unionByName(by_notices(base, n, least).withColumn("o", F.lit(1)))
+    n, with_cue = base.agg(F.count("*"), F.count_if(F.size("pairs") > 0)).first()
+    both = whole_texts(base, texts, with_cue, least).withColumn("o", F.lit(0)).unionByName(by_notices(base, n, least).withColumn("o", F.lit(1)))
     return both.groupBy("id").agg(F.min(F.struct("o", "license", "score")).alias("b")).select("id", "b.license", "b.score")
 
 
 def scan(files: DataFrame, least: float = LEAST, license_file: str = "(?i)(^|/)(licen[sc]e|copying)([.][^/]*)?$") -> DataFrame:
     """key, path, license, score, via ('own', 'inherited', 'none'), from_dir; files: key, path, text."""
     texts = text_templates(files.sparkSession)
-    base = prepared(files, texts)
+    base = prepared(files)
     known = kept(base.select("id", "key", "path").join(kept(own_licenses(base, texts, least)), "id", "left"))
     parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     dirs = (

@@ -690,3 +690,29 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert all(abs(r["score"] - got[r["doc_id"]]["score"]) < 1e-4 for r in again.collect())
     long = docs.where("doc_id < 16").selectExpr("doc_id", "concat(repeat('so ', 30001), text) as text", "lang")
     assert toxicity.train(long, labels) is not None
+
+
+def test_pairs_of_no_licence_have_their_own_frequency(spark):
+    """Scores of whole texts against TF-IDF by hand, foreign pairs included."""
+    import math
+    import pathlib
+    from collections import Counter
+
+    mit = (pathlib.Path(licenses.__file__).parent / "licence_texts/MIT.txt").read_text()
+    common = "our shared words " * 60
+    files = [(1, "a", mit + common), (2, "b", "warrant " + common), (3, "c", "warrant " + prose(3, 50)), (4, "d", mit), (5, "e", "none " + common)]
+    base = licenses.prepared(spark.createDataFrame(files, "key long, path string, text string"))
+    rows = {r["key"]: Counter(r["pairs"]) for r in base.collect()}
+    assert not rows[5]
+    n, df = 4, Counter(w for c in rows.values() for w in c)
+    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
+    texts = licenses.text_templates(spark)
+    norm = lambda c: math.sqrt(sum((x * idf(w)) ** 2 for w, x in c.items()))
+    want = {}
+    for i, c in rows.items():
+        score, name = max((round(sum(x * t.get(w, 0) * idf(w) ** 2 for w, x in c.items()) / (norm(c) * norm(t)), 6) if c else 0, k) for k, t in texts.items())
+        if score >= 0.01:
+            want[i] = name, score
+    names = {r["id"]: r["key"] for r in base.collect()}
+    got = {names[r["id"]]: (r["license"], r["score"]) for r in licenses.whole_texts(base, texts, n, 0.01).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-5 for i in want) and 1 in got
