@@ -716,3 +716,12 @@ def test_pairs_of_no_licence_have_their_own_frequency(spark):
     names = {r["id"]: r["key"] for r in base.collect()}
     got = {names[r["id"]]: (r["license"], r["score"]) for r in licenses.whole_texts(base, texts, n, 0.01).collect()}
     assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-5 for i in want) and 1 in got
+
+
+def test_kept_rows_lie_in_few_files(spark):
+    from chronoweave import storage
+
+    most = storage.FILES * max(4, spark.sparkContext.defaultParallelism)
+    d = storage.kept(spark.range(1000).repartition(most + 100))
+    assert d.rdd.getNumPartitions() == most and d.distinct().count() == 1000
+    assert storage.kept(spark.range(10).repartition(5), 2).rdd.getNumPartitions() == 2
