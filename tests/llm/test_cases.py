@@ -445,6 +445,26 @@ def test_passages_lose_no_link_to_sharers_of_parts(spark):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got) == [(10, 80, 140, 10), (90, 30, 90, 10)]
 
 
+def test_passages_lose_no_near_copy_beside_a_frequent_run(spark):
+    """Pairs at 0.81 whose only run of 20 shingles, 30 words, stands in 300 other texts; the rest of each is 22 words after an edit."""
+    run = prose(20, 30)
+    texts = {n: f"{prose(2000 + n, 60)} {run} {prose(3000 + n, 60)}" for n in range(300)}
+    pairs = [(7 + 30 * i, 21 + 30 * i) for i in range(8)]
+    for i, both in enumerate(pairs):
+        for d in both:
+            texts[d] = f"{prose(4000 + d, 60)} {run} edit{d} {prose(5000 + i, 22)} {prose(6000 + d, 60)}"
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = sorted(tuple(r) for r in passages.repeated_passages(docs).collect())
+    assert got == sorted((d, 60, 113, a, 1) for a, b in pairs for d in (a, b))
+
+
+def test_parts_of_a_group_lose_no_pair(spark, monkeypatch):
+    """A group cut into parts by its size: all members of the parts are looked at again."""
+    monkeypatch.setattr(passages, "GROUP", 1)
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    test_passages_lose_no_near_copy_beside_a_frequent_run(spark)
+
+
 def test_recall_of_passages(spark):
     """Exact and once or twice edited repeats in pairs; all that reach 0.8 by shingles in order are found."""
     r, texts, want = random.Random(5), [], set()
