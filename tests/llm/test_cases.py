@@ -745,3 +745,47 @@ def test_kept_rows_lie_in_few_files(spark):
     d = storage.kept(spark.range(1000).repartition(most + 100))
     assert d.rdd.getNumPartitions() == most and d.distinct().count() == 1000
     assert storage.kept(spark.range(10).repartition(5), 2).rdd.getNumPartitions() == 2
+
+
+def test_anchors_of_said_over_words_are_few(spark):
+    """A word said 40 times gives two anchors, not one for each place; lone places with the same words around are one class."""
+    texts = [prose(1, 120) + " " + " ".join(["ha"] * 40) + " " + prose(2, 120), (prose(3, 31) + " ") * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = {r["doc_id"]: r["t"] for r in passages.document_texts(docs).collect()}
+    rows = [(1, t[0], at, 5 if at < 130 else at, at >= 130) for at in range(120, 137)] + [(2, t[1], at, at, True) for at in range(124, 800, 31)]
+    members = spark.createDataFrame(rows, "g long, t long, at long, comp long, alone boolean")
+    got = passages.anchors(passages.word_table(docs), members).collect()
+    assert sorted((r["at"], r["alone"], r["s"], r["n"]) for r in got if r["g"] == 1) == [(at, alone, 120, 36) for at in (120, 155) for alone in (False, True)]
+    assert len({r["comp"] for r in got if r["g"] == 1}) == 2 and len({r["comp"] for r in got if r["g"] == 2}) == 1
+
+
+def test_long_runs_of_a_word_are_covered(spark):
+    """Links between runs of one shingle cover each whole run that is alone, in one class."""
+    runs = {(1, 10, 200): {(1, True)}, (2, 0, 60): {(2, True)}, (3, 5, 46): {(3, True)}, (4, 0, 45): {(4, True)}, (1, 500, 70): {(5, True)}}
+    top = {i: i for i in range(1, 6)}
+
+    def join(classes):
+        old = {top[c] for c in classes}
+        top.update({c: min(old) for c in top if top[c] in old})
+
+    out = passages.run_links(runs, lambda classes: len({top[c] for c in classes}) < 2, join, 46)
+    assert top == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1} and all(x[0] != x[3] and x[2] - x[1] == x[5] - x[4] >= 50 for x in out)
+    for t, s, n in [(1, 10, 200), (2, 0, 60), (3, 5, 46), (1, 500, 70)]:
+        covered = {w for x in out for who, lo, hi in (x[:3], x[3:6]) if who == t for w in range(lo, hi)}
+        assert set(range(s, s + n + 4)) <= covered
+
+
+def test_part_at_an_anchor_is_that_of_all_parts():
+    r, hits = np.random.default_rng(0), 0
+    for k in range(2000):
+        n = int(r.integers(50, 205))
+        x = (np.arange(n) % (37 if k % 3 == 0 else 1000) // (9 if k % 3 == 1 else 1)).astype(np.uint64)
+        y, c = x.copy(), int(r.integers(0, n))
+        y[r.random(n) < r.choice([0.02, 0.05, 0.1, 0.2])] = 999
+        y = np.concatenate([r.integers(300, 400, int(r.integers(0, 20))).astype(np.uint64), y])
+        for j in np.flatnonzero(y == x[c])[:2].tolist():
+            want = next((p for p in passages.similar_parts(x, y, 46) if p[0] <= c < p[1] and p[2] <= j < p[3]), None)
+            assert passages.part_at(x, y, x.tolist(), y.tolist(), c, j, 46) == want
+            hits += want is not None
+    assert hits > 500
+    assert ordermh.aligned(np.arange(50), np.arange(40), 0.8) == 0.8  # the band is not a rounding too narrow
