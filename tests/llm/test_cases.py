@@ -789,3 +789,23 @@ def test_part_at_an_anchor_is_that_of_all_parts():
             hits += want is not None
     assert hits > 500
     assert ordermh.aligned(np.arange(50), np.arange(40), 0.8) == 0.8  # the band is not a rounding too narrow
+
+
+def test_texts_move_only_for_many_ids(spark, monkeypatch):
+    """The words of a few documents are read without a move of all texts; of more, by a join of both sides: the same rows."""
+    docs = spark.createDataFrame([(i, prose(i, 8)) for i in range(30)] + [(3, "another version")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in (3, 3, 7, 99)], "doc_id long")
+    got = ordermh.word_bytes(docs, ids)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordermh, "SENT", 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ordermh.word_bytes(docs, ids).collect())) and got.count() == 3
+
+
+def test_mixed_keys_do_not_depend_on_batches(spark):
+    rows = [(i, i % 5 if k % 3 else 7, k) for k in range(40) for i in range(k % 7 + 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = ordermh.mixed_keys(spark.createDataFrame(rows + rows[:50], "id long, comp long, bk long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted(x for x in rows if len({c for _, c, k in rows if k == x[2]}) > 1)
