@@ -24,14 +24,15 @@ def episodes(frames: DataFrame, keys: list[str], frame: str = "frame_id", gap: f
     return frames.withColumn("__new", flag).withColumn(out, F.sum("__new").over(outer)).drop("__new")
 
 
-def nearest(events: DataFrame, frames: DataFrame, keys: list[str], event_time: str, frame_time: str, frame: str = "frame_id", tolerance: float | None = None, out: str = "event_frame") -> DataFrame:
+def nearest(events: DataFrame, frames: DataFrame, keys: list[str], event_time: str, frame_time: str, frame: str = "frame_id", tolerance: float | None = None, out: str = "event_frame", carry: dict[str, str] | None = None) -> DataFrame:
     """As-of join: for each event the frame nearest in time; ties go to the earlier frame.
 
     One union sorted by time in each key; the last frame before and the first after come
     from two null-skipping windows, so the cost is that of one sort.  Frames of equal time
-    count as their least.
+    count as their least.  ``carry`` names columns of the frame that come along.
     """
-    f = frames.groupBy(*keys, F.col(frame_time).alias("__t")).agg(F.min(frame).alias("__f"))
+    carry = carry or {}
+    f = frames.groupBy(*keys, F.col(frame_time).alias("__t")).agg(F.min(F.struct(F.col(frame).alias("__f"), *[F.col(c).alias(n) for c, n in carry.items()])).alias("__f"))
     e = events.withColumn("__t", F.col(event_time))
     both = f.withColumn("__side", F.lit(0)).unionByName(e.withColumn("__side", F.lit(1)), allowMissingColumns=True)
     both = both.withColumn("__m", F.when(F.col("__side") == 0, F.struct("__t", "__f")))
@@ -44,7 +45,7 @@ def nearest(events: DataFrame, frames: DataFrame, keys: list[str], event_time: s
     found = F.col("__p.__f")
     if tolerance is not None:
         found = F.when(F.abs(F.col("__p.__t") - F.col("__t")) <= tolerance, found)
-    return got.select(*[F.col(c) for c in events.columns], found.alias(out))
+    return got.withColumn("__p", found).select(*[F.col(c) for c in events.columns], F.col("__p.__f").alias(out), *[F.col(f"__p.{n}").alias(n) for n in carry.values()])
 
 
 def merge_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -73,6 +74,39 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi:
     return l.join(r.hint("merge"), on, how).drop("__b", "__b2", *renamed.values())
 
 
+def by_key(frames: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join with a table of one row a key, which is dealt out as the frames are, if they lie by these keys.
+
+    Of two sides that lie by the keys Spark moves the one of fewer partitions, be it the larger.  Keys that
+    are computed anew hide how ``one`` lies, so it is the side that moves.
+    """
+    hidden = {k: F.when(F.col(k).isNotNull(), F.col(k)) for k in keys}
+    return frames.join(one.withColumns(hidden).hint("shuffle_hash"), keys)
+
+
+def wanted(frames: DataFrame, events: DataFrame, keys: list[str], at: str = "frame_id", event_at: str = "frame_id") -> DataFrame:
+    """Rows of ``frames`` that some event of the same keys names, so that a join with events moves no others.
+
+    The wanted frames of a key go to its frames as one array; frames that lie by these keys already stay there.
+    """
+    w = events.where(F.col(event_at).isNotNull()).groupBy(*keys).agg(F.collect_set(event_at).alias("__want"))
+    return by_key(frames, w, keys).where(F.array_contains("__want", F.col(at))).drop("__want")
+
+
+def in_ranges(frames: DataFrame, events: DataFrame, keys: list[str], lo: str, hi: str, at: str, width: int, out: str = "event") -> DataFrame:
+    """``range_join`` for rows that become many more: each row of ``frames`` once for every event with equal keys whose [lo, hi] holds ``at``, as the struct ``out``.
+
+    The events of a key go to its frames as one map from buckets of ``width`` to events, so frames that lie by
+    these keys already stay there, and so do the joined rows.  A key's events are held in memory.
+    """
+    e = events.withColumn("__b", F.explode(F.when(F.col(lo) <= F.col(hi), F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))))
+    e = e.groupBy(*keys, "__b").agg(F.collect_list(F.struct(*events.columns)).alias("__e"))
+    e = e.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__e"))).alias("__m"))
+    j = by_key(frames, e, keys)
+    held = F.filter(F.try_element_at("__m", F.floor(F.col(at) / width)), lambda v: F.col(at).between(v[lo], v[hi]))
+    return j.select(*frames.columns, F.explode(held).alias(out))
+
+
 def first_run(frames: DataFrame, keys: list[str], frame: str = "frame_id") -> DataFrame:
     """The first stretch of consecutive frames of each series."""
     w = series(keys, frame)

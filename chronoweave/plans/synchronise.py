@@ -67,14 +67,13 @@ def window_bounds(events: DataFrame, frames: DataFrame, fps: int = 25) -> DataFr
     w = Window.partitionBy("match_id").orderBy("event_idx")
     foul, piece = F.col("spadl_type") == "foul", F.col("spadl_type").isin(vocab.SET_PIECE)
     e = events.withColumn("s", secs).withColumn("probe", F.when(foul, F.lag("us").over(w)).otherwise(F.col("us")))
-    e = tmp.nearest(e.where("probe is not null"), frames.select("match_id", "us", "frame_id"), ["match_id"], "probe", "us")
+    e = tmp.nearest(e.where("probe is not null"), frames.select("match_id", "us", "frame_id", "episode_id"), ["match_id"], "probe", "us", carry={"episode_id": "episode_id", "us": "ef_us"})
     up, down = Window.partitionBy("match_id", "episode_id").orderBy("frame_id"), Window.partitionBy("match_id", "episode_id").orderBy(F.desc("frame_id"))
     ranked = frames.withColumn("i", F.row_number().over(up)).withColumn("j", F.row_number().over(down))
     ep = ranked.groupBy("match_id", "episode_id").agg(
         F.min("frame_id").alias("ep_first"), F.max("frame_id").alias("ep_last"), F.max(F.when(F.col("i") <= fps, F.col("frame_id"))).alias("ep_head"), F.min(F.when(F.col("j") <= fps, F.col("frame_id"))).alias("ep_tail")
     )
-    at = frames.select("match_id", F.col("frame_id").alias("event_frame"), "episode_id", F.col("us").alias("ef_us"))
-    e = tmp.merge_join(tmp.merge_join(e, at, ["match_id", "event_frame"], "left"), ep, ["match_id", "episode_id"], "left")
+    e = tmp.merge_join(e, ep, ["match_id", "episode_id"], "left")
     far = F.abs(F.col("ef_us") - F.col("probe")) > F.col("s") * 1_000_000
     reach = F.col("s") * fps - 1
     early = F.col("event_frame") - F.col("ep_first") < F.col("s") * fps
@@ -84,36 +83,46 @@ def window_bounds(events: DataFrame, frames: DataFrame, fps: int = 25) -> DataFr
     return e.withColumn("lo", lo).withColumn("hi", hi).withColumn("event_frame", F.when(foul, F.col("ep_last")).otherwise(F.col("event_frame"))).drop("episode_id", "ef_us", "ep_first", "ep_last", "ep_head", "ep_tail", "probe")
 
 
-def features(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
-    """One row an event with one array for each feature (``f_`` columns), in frame order.
+def wide_frames(tracking: DataFrame, names: list[str], ball: dict) -> DataFrame:
+    """One row a frame (and ball): match_id, period_id, frame, the ball's columns, and its ``players``, an array of player_id and ``names``."""
+    row = F.when(F.col("ball"), F.struct(*[v.alias(k) for k, v in ball.items()]))
+    t = tracking.groupBy("match_id", "period_id", F.col("frame_id").alias("frame")).agg(F.collect_list(row).alias("balls"), F.collect_list(F.when(~F.col("ball"), F.struct("player_id", *names))).alias("players"))
+    return t.select("match_id", "period_id", "frame", "players", F.inline("balls"))
+
+
+def window_rows(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
+    """match_id, event_idx and one array for each feature (``f_`` columns), in frame order, of the events whose window holds frames of their player.
 
-    The acting player's rows come by a bucketed range join; the ball and the opponent join on the frame.
+    Objects of a frame are one row; events meet them by a bucketed range join by match, and all that
+    follows stays there: nothing is moved by event or frame, as these rows are many times the tracking's.
     """
-    p = tracking.where(~F.col("ball")).select("match_id", "period_id", "player_id", F.col("frame_id").alias("frame"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("speed").alias("player_speed"), F.col("accel_v").alias("player_accel"))
-    ball = tracking.where("ball").select("match_id", "period_id", F.col("frame_id").alias("frame"), F.col("x").alias("bx"), F.col("y").alias("by"), F.coalesce("z", F.lit(0.0)).alias("ball_height"), F.coalesce("accel_v", F.lit(0.0)).alias("ball_accel"))
-    e = events.where("lo is not null")
-    own = tmp.range_join(e, p, [*KEYS, "player_id"], "lo", "hi", "frame", width=10 * fps)
-    own = tmp.merge_join(own, ball, [*KEYS, "frame"])
-    own = own.withColumn("player_dist", distance(F.col("px"), F.col("py"), F.col("bx"), F.col("by"))).withColumn("frame_delay", F.greatest(F.lit(0), F.col("frame") - F.col("event_frame")).cast("double"))
+    w = wide_frames(tracking, ["x", "y", "speed", "accel_v"], {"bx": F.col("x"), "by": F.col("y"), "ball_height": F.coalesce("z", F.lit(0.0)), "ball_accel": F.coalesce("accel_v", F.lit(0.0))})
     team = F.left("player_id", F.lit(4))
-    o = p.select(*KEYS, "frame", F.col("player_id").alias("oppo_id"), F.col("px").alias("ox"), F.col("py").alias("oy"))
     named = F.when((F.col("spadl_type") == "tackle") & (F.left("prev_player_id", F.lit(4)) != team), F.col("prev_player_id")).when(
         (F.col("spadl_type") == "take_on") & ~F.col("success") & (F.col("next_type") == "tackle") & (F.left("next_player_id", F.lit(4)) != team), F.col("next_player_id")
     )
-    duel = own.where(F.col("spadl_type").isin("tackle", "take_on", "second_take_on")).withColumn("named", named).where("named is not null or spadl_type <> 'tackle'")
-    gx = F.when(team == "home", F.lit(vocab.PITCH_X)).otherwise(F.lit(0.0))
-    j = tmp.merge_join(duel, o, [*KEYS, "frame"]).where((F.left("oppo_id", F.lit(4)) != team) & (F.col("named").isNull() | (F.col("oppo_id") == F.col("named"))))
-    goal = lambda x, y: distance(F.col(x), F.col(y), gx, F.lit(vocab.PITCH_Y / 2))
-    masked = F.when(F.col("named").isNotNull() | (goal("ox", "oy") <= goal("px", "py") + 1), distance(F.col("px"), F.col("py"), F.col("ox"), F.col("oy"))).otherwise(vocab.PITCH_X)
-    opp = j.groupBy("match_id", "event_idx", "frame").agg(F.min_by(F.struct("oppo_id", "ox", "oy"), F.struct(masked, "oppo_id")).alias("o"))
-    full = tmp.merge_join(own, opp, ["match_id", "event_idx", "frame"], "left")
+    e = events.where("lo is not null").select("match_id", "period_id", "event_idx", "player_id", "event_frame", "lo", "hi", team.alias("team"), named.alias("named"), F.col("spadl_type").isin("tackle", "take_on", "second_take_on").alias("duel"), (F.col("spadl_type") == "tackle").alias("tackle"))
+    e = e.withColumn("duel", F.col("duel") & (F.col("named").isNotNull() | ~F.col("tackle"))).drop("tackle")
+    j = tmp.in_ranges(w.withColumnRenamed("period_id", "p_id"), e, ["match_id"], "lo", "hi", "frame", 10 * fps, "e").where("e.period_id = p_id")
+    own = j.withColumn("own", F.explode(F.filter("players", lambda p: p["player_id"] == F.col("e.player_id"))))
+    gx = F.when(F.col("e.team") == "home", F.lit(vocab.PITCH_X)).otherwise(F.lit(0.0))
+    goal = lambda o: distance(o["x"], o["y"], gx, F.lit(vocab.PITCH_Y / 2))
+    masked = lambda o: F.when(F.col("e.named").isNotNull() | (goal(o) <= goal(F.col("own")) + 1), distance(F.col("own.x"), F.col("own.y"), o["x"], o["y"])).otherwise(vocab.PITCH_X)
+    others = F.filter("players", lambda o: (F.left(o["player_id"], F.lit(4)) != F.col("e.team")) & (F.col("e.named").isNull() | (o["player_id"] == F.col("e.named"))))
+    nearest = F.array_min(F.transform(others, lambda o: F.struct(masked(o).alias("d"), o["player_id"].alias("id"), o["x"].alias("x"), o["y"].alias("y"))))
+    full = own.withColumn("o", F.when(F.col("e.duel"), nearest))
     row = F.struct(
-        F.col("frame").cast("double").alias("frame"), "player_dist", "ball_height", "ball_accel", F.coalesce("player_speed", F.lit(0.0)).alias("player_speed"), F.coalesce("player_accel", F.lit(0.0)).alias("player_accel"), "frame_delay",
-        distance(F.col("o.ox"), F.col("o.oy"), F.col("bx"), F.col("by")).alias("oppo_dist"), (F.col("o.ox") - F.col("px")).alias("oppo_rel_x"), (F.col("o.oy") - F.col("py")).alias("oppo_rel_y"), F.col("o.oppo_id").alias("oppo_id"),
+        F.col("frame").cast("double").alias("frame"), distance(F.col("own.x"), F.col("own.y"), F.col("bx"), F.col("by")).alias("player_dist"), "ball_height", "ball_accel", F.coalesce("own.speed", F.lit(0.0)).alias("player_speed"),
+        F.coalesce("own.accel_v", F.lit(0.0)).alias("player_accel"), F.greatest(F.lit(0), F.col("frame") - F.col("e.event_frame")).cast("double").alias("frame_delay"),
+        distance(F.col("o.x"), F.col("o.y"), F.col("bx"), F.col("by")).alias("oppo_dist"), (F.col("o.x") - F.col("own.x")).alias("oppo_rel_x"), (F.col("o.y") - F.col("own.y")).alias("oppo_rel_y"), F.col("o.id").alias("oppo_id"),
     )
-    rows = full.groupBy("match_id", "event_idx").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    rows = rows.select("match_id", "event_idx", *[F.col(f"rows.{c}").alias(f"f_{c}") for c in PACKED])
-    return tmp.merge_join(events, rows, ["match_id", "event_idx"], "left")
+    rows = full.groupBy("match_id", F.col("e.event_idx").alias("event_idx")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select("match_id", "event_idx", *[F.col(f"rows.{c}").alias(f"f_{c}") for c in PACKED])
+
+
+def features(events: DataFrame, tracking: DataFrame, fps: int = 25) -> DataFrame:
+    """All events, each with the arrays of ``window_rows``."""
+    return tmp.merge_join(events, window_rows(events, tracking, fps), ["match_id", "event_idx"], "left")
 
 
 def _arrays(row, lo: float, hi: float) -> dict:

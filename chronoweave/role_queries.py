@@ -48,27 +48,37 @@ def utc(us):
     return F.timestamp_add("MICROSECOND", us, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
 
 
+#: bytes of the events' files whose matches lie together; their tracking has about 400,000 rows
+PART = 1 << 18
+
+
+def match_rows(spark, d, kinds: list[str]) -> DataFrame:
+    """Rows of events of some types, moved by match_id, so that steps by match leave what is made of them where it is."""
+    n = int(str(table(spark, d, "events")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART + 2  # rows in a single part would be moved by any join
+    return events(spark, d).where(F.col("event_type").isin(kinds)).withColumn("match_id", F.col("user_id").cast("string")).repartition(n, "match_id")
+
+
 def match_tracking(spark, d) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    f = events(spark, d).where(F.col("event_type").isin("view", "click", "error")).select(F.col("user_id").alias("u"), n.cast("long").alias("n"))
-    f = f.select("u", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).select("u", F.expr("n * 12 + 10 * (n div 7) + j").alias("frame_id"), F.when(F.col("n") < 20, 1).otherwise(2).cast("long").alias("period_id"))
+    n = F.row_number().over(Window.partitionBy("match_id").orderBy("ts", "event_id")) - 1
+    f = match_rows(spark, d, ["view", "click", "error"]).select("match_id", F.col("user_id").alias("u"), n.cast("long").alias("n"))
+    f = f.select("match_id", "u", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).select("match_id", "u", F.expr("n * 12 + 10 * (n div 7) + j").alias("frame_id"), F.when(F.col("n") < 20, 1).otherwise(2).cast("long").alias("period_id"))
     objects = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in enumerate([None, "home_1", "home_2", "away_1", "away_2"])])
     t = f.select("*", F.inline(objects))
     wave = lambda a, b, m: F.expr(f"cast(abs((frame_id + k * {a} + u * {b}) % {m} - {m // 2}) - {m // 4} as double) * 0.5D")
     return t.select(
-        F.col("u").cast("string").alias("match_id"), "frame_id", "period_id", (F.col("frame_id") / F.lit(25.0)).alias("timestamp"), utc(F.col("frame_id") * 40000).alias("utc_timestamp"), F.col("p").alias("player_id"), (F.col("k") == 0).alias("ball"),
+        "match_id", "frame_id", "period_id", (F.col("frame_id") / F.lit(25.0)).alias("timestamp"), utc(F.col("frame_id") * 40000).alias("utc_timestamp"), F.col("p").alias("player_id"), (F.col("k") == 0).alias("ball"),
         (52.5 + wave(17, 5, 160)).alias("x"), (34.0 + wave(23, 3, 120)).alias("y"), F.expr("case when k = 0 then (frame_id + u) % 40 * 0.125D end").alias("z"),
         F.expr("cast((frame_id + k) % 8 as double)").alias("speed"), F.expr("cast((frame_id * 7 + u) % 50 - 20 as double)").alias("accel_s"), F.expr("cast((frame_id * 7 + u + k) % 50 as double)").alias("accel_v"),
     )
 
 
 def match_events(spark, d) -> DataFrame:
-    i = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
-    e = events(spark, d).where(F.col("event_type").isin("purchase", "signup")).withColumn("i", i).withColumn("t", F.expr("i * 700000 + event_id % 11 * 30000"))
+    i = (F.row_number().over(Window.partitionBy("match_id").orderBy("ts", "event_id")) - 1).cast("long")
+    e = match_rows(spark, d, ["purchase", "signup"]).withColumn("i", i).withColumn("t", F.expr("i * 700000 + event_id % 11 * 30000"))
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int") + 1)
     kind = F.when(F.col("i") == 0, "pass").otherwise(pick(vocab.TYPES, F.expr("event_id * 7 % 26")))
     return e.select(
-        F.col("user_id").cast("string").alias("match_id"), F.col("i").alias("event_idx"), F.when(F.col("t") < SECOND, 1).otherwise(2).cast("long").alias("period_id"), utc(F.col("t")).alias("utc_timestamp"),
+        "match_id", F.col("i").alias("event_idx"), F.when(F.col("t") < SECOND, 1).otherwise(2).cast("long").alias("period_id"), utc(F.col("t")).alias("utc_timestamp"),
         pick(["home_1", "home_2", "away_1", "away_2"], F.expr("event_id % 4")).alias("player_id"), kind.alias("spadl_type"), (F.col("value") > 50).alias("success"), "event_id", "value",
     )
 
@@ -119,7 +129,7 @@ select match_id, event_idx, frame, round(sqrt((px - bx) ** 2 + (py - byy) ** 2),
 def frame_features(spark, d):
     """Acting player, ball and opponent of every frame of every event's window."""
     t, _, e = bounded(spark, d)
-    f = syn.features(e, t).where("f_frame is not null")
+    f = syn.window_rows(e, t)
     rows = f.select("match_id", "event_idx", F.inline(F.arrays_zip(*[F.col(f"f_{c}").alias(c) for c in syn.PACKED])))
     return rows.select("match_id", "event_idx", F.col("frame").cast("long").alias("frame"), F.round("player_dist", 6).alias("player_dist"), "ball_height", "ball_accel", "frame_delay", "oppo_id", F.round("oppo_dist", 6).alias("oppo_dist"), "oppo_rel_x", "oppo_rel_y")
 
