@@ -19,7 +19,7 @@ def moved(spark, df) -> int:
     return sum(s.shuffleWriteRecords() for s in (got.apply(i) for i in range(got.size())) if s.stageId() not in before)
 
 
-@pytest.mark.parametrize("name, most", [("frame_features", 10)])
+@pytest.mark.parametrize("name, most", [("frame_features", 10), ("receive_features", 15), ("sync_full", 40)])
 def test_frames_are_not_moved(spark, name, most):
     """At most so many records for each row of events; five tracking rows of ten frames are made of 0.6 of these."""
     rows = spark.read.parquet(f"{SF}/events.parquet").count()
